@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from . import quality
+from . import bpe, packing, quality, tokencount
 
-QUERIES = {**quality.QUERIES}
+QUERIES = {**tokencount.QUERIES, **bpe.QUERIES, **quality.QUERIES, **packing.QUERIES}
