@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from . import bpe, packing, quality, tokencount
+from . import bpe, html_text, packing, quality, search, tokencount
 
-QUERIES = {**tokencount.QUERIES, **bpe.QUERIES, **quality.QUERIES, **packing.QUERIES}
+QUERIES = {**tokencount.QUERIES, **bpe.QUERIES, **quality.QUERIES, **search.QUERIES, **packing.QUERIES, **html_text.QUERIES}
