@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from . import bpe, html_text, linededup, packing, quality, search, tokencount
+from . import bpe, html_text, linededup, packing, pii, quality, search, tokencount
 
-QUERIES = {**tokencount.QUERIES, **bpe.QUERIES, **linededup.QUERIES, **quality.QUERIES, **search.QUERIES, **packing.QUERIES, **html_text.QUERIES}
+QUERIES = {**tokencount.QUERIES, **bpe.QUERIES, **linededup.QUERIES, **quality.QUERIES, **pii.QUERIES, **search.QUERIES, **packing.QUERIES, **html_text.QUERIES}
