@@ -6,8 +6,7 @@ says; every word is cut at all such places; each fragment is encoded by itself,
 and batch of texts at most, and the results are concatenated. Merges never cross a certain cut, so
 the ids are those of the whole word. Only the last fragment of a word carries the end-of-word mark.
 
-White space is dropped by the tokenizer and so is a certain cut for every text: fragments of text
-between white space are looked up in a bounded table of encoded pieces first.
+Words are looked up in a bounded table of encoded words first.
 
 Defined results: a null text counts as empty; an empty text has no ids; special tokens written out in
 a text are those tokens, as in the tokenizers library; very long texts are encoded whole.
@@ -19,7 +18,9 @@ import hashlib
 import json
 import os
 import re
+import struct
 from collections.abc import Iterator
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -30,12 +31,51 @@ from .common import table, text_or_empty
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 VOCABULARY = "word_bpe_49k.json"
-#: Pieces that a worker keeps; the table is emptied when full, so memory doesn't grow with the corpus.
-CACHE_PIECES = 400_000
+#: Encoded words that a worker keeps in each of two generations, so memory doesn't grow with the corpus.
+CACHE_WORDS = 250_000
 #: What str.split takes for white space and the tokenizer doesn't.
-_ODD_SPACE = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
-_SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
-_ASCII_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
+_ODD_SPACE = re.compile(r"[\x1c-\x1f]")
+_SPACE = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+#: A text of other characters than these, once in lower case, is split by the tokenizer itself. In the
+#: others each character has one lower case and none composes.
+_UNKNOWN = re.compile(r"[^\t-\r !-~ß-öø-ÿ]")
+_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+")
+
+
+def _byte_alphabet() -> dict[int, str]:
+    """Byte -> character of the byte-level alphabet: printable bytes stand for themselves, the others follow from 256 on."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = iter(range(256, 512))
+    return {b: chr(b if b in own else next(rest)) for b in range(256)}
+
+
+class Table:
+    """A bounded dictionary in two generations: when the young one is full, it takes the place of the old one."""
+
+    def __init__(self, limit: int, make):
+        self.limit, self.make = limit, make
+        self.young: dict = {}
+        self.old: dict = {}
+
+    def miss(self, key):
+        found = self.young.get(key) or self.old.get(key)
+        if found is None:
+            found = self.make(key)
+        if len(self.young) >= self.limit:
+            self.old, self.young = self.young, {}
+        self.young[key] = found
+        return found
+
+    def of(self, keys: list) -> bytes:
+        """The values of all keys, one after the other."""
+        found = list(map(self.young.get, keys))
+        if None in found:
+            miss = self.miss
+            found = [x if x is not None else miss(k) for x, k in zip(found, keys)]
+        return b"".join(found)
+
+    def __len__(self) -> int:
+        return len(self.young) + len(self.old)
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -47,7 +87,7 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 class ForcedBoundaryEncoder:
     """``encode(text)`` -> ids; ``decode(ids)`` -> text. ``path``: a word-end BPE file of the tokenizers library."""
 
-    def __init__(self, path: str, cache_pieces: int = CACHE_PIECES):
+    def __init__(self, path: str, cache_words: int = CACHE_WORDS):
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
@@ -70,50 +110,36 @@ class ForcedBoundaryEncoder:
         self.tokens = [""] * size
         for token, i in [*self.vocab.items(), *self.special.items()]:
             self.tokens[i] = token
-        self.limit = cache_pieces
-        self.fragments: dict[tuple[str, bool], tuple[int, ...]] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.alphabet = _byte_alphabet()
+        self.words = Table(cache_words, self._word)
+        self.pieces = Table(cache_words, self._piece)
 
     def cuts(self, word: str) -> list[str]:
         """``word`` (in the byte alphabet) split at every certain cut."""
-        out, start, pairs = [], 0, self.pairs
-        for i in range(1, len(word)):
-            if word[i - 1 : i + 1] not in pairs:
+        pairs, rest = self.pairs, word[1:]
+        if pairs.issuperset(map(add, word, rest)):
+            return [word]
+        out, start = [], 0
+        for i, pair in enumerate(map(add, word, rest), 1):
+            if pair not in pairs:
                 out.append(word[start:i])
                 start = i
-        out.append(word[start:])
-        return out
+        return [*out, word[start:]]
 
-    def _fragment(self, fragment: str, last: bool) -> tuple[int, ...]:
-        found = self.fragments.get((fragment, last))
-        if found is None:
-            if len(self.fragments) >= self.limit:
-                self.fragments.clear()
-            found = self.fragments[fragment, last] = tuple(t.id for t in (self.final if last else self.inner).tokenize(fragment))
-        return found
+    def _mapped(self, word: str) -> bytes:
+        """The ids of one word in the byte alphabet: its fragments are encoded by themselves."""
+        *inner, last = self.cuts(word)
+        ids = [t.id for part in inner for t in self.inner.tokenize(part)]
+        ids += [t.id for t in self.final.tokenize(last)]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
-    def _words(self, piece: str) -> list[str]:
-        if piece.isascii():
-            low = piece.lower()
-            if low.isalpha():
-                return [low]
-            if all(c > " " and c != "\x7f" for c in low):  # printable ASCII stands for itself in the byte alphabet
-                return _ASCII_WORDS.findall(low)
-        return [w for w, _ in self.splitter.pre_tokenize_str(self.normalizer.normalize_str(piece))]
-
-    def piece(self, piece: str) -> bytes:
-        """The ids of a text without white space, as little-endian unsigned 32-bit numbers."""
-        ids: list[int] = []
-        for word in self._words(piece):
-            parts = self.cuts(word)
-            for part in parts[:-1]:
-                ids += self._fragment(part, False)
-            ids += self._fragment(parts[-1], True)
-        found = np.array(ids, dtype="<u4").tobytes()
-        if len(self.pieces) >= self.limit:
-            self.pieces.clear()
-        self.pieces[piece] = found
-        return found
+    def _word(self, word: str) -> bytes:
+        """The ids of one word of lower-case text, as little-endian unsigned 32-bit numbers."""
+        return self._mapped(word if word.isascii() else word.encode().decode("latin-1").translate(self.alphabet))
+
+    def _piece(self, piece: str) -> bytes:
+        """The ids of any text without white space, split into words by the tokenizer."""
+        return b"".join([self._mapped(w) for w, _ in self.splitter.pre_tokenize_str(self.normalizer.normalize_str(piece))])
 
     def encode_bytes(self, text: str) -> bytes:
         if "<|" in text and self._special.search(text):
@@ -121,9 +147,10 @@ class ForcedBoundaryEncoder:
         return self._plain(text)
 
     def _plain(self, text: str) -> bytes:
-        parts = text.split() if not _ODD_SPACE.search(text) else [x for x in _SPACE.split(text) if x]
-        get, encode = self.pieces.get, self.piece
-        return b"".join([get(p) or encode(p) for p in parts])
+        low = text.lower()
+        if not _UNKNOWN.search(low) and len(low) == len(text):
+            return self.words.of(_WORDS.findall(low))
+        return self.pieces.of(text.split() if not _ODD_SPACE.search(text) else [x for x in _SPACE.split(text) if x])
 
     def encode(self, text: str) -> np.ndarray:
         return np.frombuffer(self.encode_bytes(text), dtype="<u4")
