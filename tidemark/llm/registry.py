@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from . import bpe, html_text, linededup, neardup, packing, pii, quality, search, tokencount
+from . import bpe, html_text, linededup, neardup, packing, pii, quality, search, suffix, tokencount
 
-QUERIES = {**tokencount.QUERIES, **bpe.QUERIES, **neardup.QUERIES, **linededup.QUERIES, **quality.QUERIES, **pii.QUERIES, **search.QUERIES, **packing.QUERIES, **html_text.QUERIES}
+QUERIES = {**tokencount.QUERIES, **bpe.QUERIES, **suffix.QUERIES, **neardup.QUERIES, **linededup.QUERIES, **quality.QUERIES, **pii.QUERIES, **search.QUERIES, **packing.QUERIES, **html_text.QUERIES}
