@@ -27,6 +27,14 @@ def test_medallion_and_api(spark, tmp_path):
     assert feeds.read_parquet(spark, f"{root}/silver/logs", ["Label"]).columns == ["Label"]
 
 
+def test_indicator_filter(spark):
+    listed = indicators(spark, SF)
+    f = serving.IndicatorFilter(listed)
+    for r in listed.filter("ioc_type IN ('ip', 'ip:port')").collect():
+        assert f.maybe(f" {r.ip_address} ")
+    assert sum(f.maybe(f"clean{i}") for i in range(2000)) < 60 and f.memory_bytes == -(-f.bits // 8)
+
+
 def test_readers(spark, tmp_path):
     path = str(tmp_path / "feed.csv")
     with open(path, "w") as f:

@@ -65,3 +65,9 @@ def top_nodes(ranks: DataFrame, edges: DataFrame, kinds: DataFrame, n: int = 15)
 def export_nodes(ranks: DataFrame, kinds: DataFrame, base: int = 10) -> DataFrame:
     """node, type and a drawing size that grows with the rank."""
     return ranks.join(kinds, "node", "left").select("node", "type", (F.lit(base) + F.round("pagerank", 8) * 300).cast("int").alias("size"))
+
+
+def between(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Edges with both ends among ``nodes``: two semi-joins."""
+    n = nodes.select("node")
+    return edges.join(n, edges.src == n.node, "left_semi").join(n, edges.dst == n.node, "left_semi")

@@ -128,6 +128,12 @@ _TAGS = """SELECT row_id, list_filter([
   'TARGET_' || Label], lambda x: x IS NOT NULL) AS tags FROM f"""
 
 
+@query("kpi_defaults", "SELECT s_suppkey, coalesce(nullif(s_acctbal, 73.0), -1.0) AS balance, round(s_suppkey / 1024.0, 2) AS kilobytes FROM supplier", prefix=False)
+def _(spark, d):
+    rows = read(spark, d, "supplier").select("s_suppkey", F.expr("nullif(s_acctbal, 73.0D)").alias("balance"), relational.kilobytes(F.col("s_suppkey").cast("double")).alias("kilobytes"))
+    return relational.filled(rows, {"balance": -1.0})
+
+
 @query("flow_tags", _TAGS)
 def _(spark, d):
     return _tagged(spark, d)
@@ -193,6 +199,20 @@ def _(spark, d):
 _FM = f"r AS (SELECT s AS seed, max(CASE WHEN h = 0 THEN 32 ELSE bit_count((h & -h) - 1) END) AS register FROM (SELECT s, {_H.format(s='s', v='l_partkey')} AS h FROM (SELECT DISTINCT l_partkey FROM lineitem), (SELECT unnest(range(0, 32)) AS s)) GROUP BY s)"
 
 
+@query("bloom_bits", f", {_BLOOM} SELECT count(*) AS set_bits, round(pow(1 - exp(-{_HASHES} * (SELECT count(*) FROM ({_LISTED}))::DOUBLE / {_BITS}), {_HASHES}), 12) AS expected_fpr FROM b")
+def _(spark, d):
+    listed = indicators(spark, d).filter(F.col("ioc_type").isin("ip", "ip:port"))
+    inserted = listed.select("ip_address").distinct().count()
+    out = sketches.bloom_build(listed, "ip_address", _BITS, _HASHES).agg(F.count("*").alias("set_bits"))
+    return out.withColumn("expected_fpr", F.lit(round(sketches.bloom_rate(_BITS, _HASHES, inserted), 12)))
+
+
+@query("approx_distinct", "SELECT count(DISTINCT l_partkey) AS exact, true AS within_bound FROM lineitem", prefix=False)
+def _(spark, d):
+    out = read(spark, d, "lineitem").agg(F.countDistinct("l_partkey").alias("exact"), F.approx_count_distinct("l_partkey", 0.02).alias("a"))
+    return out.select("exact", (F.abs(F.col("a") - F.col("exact")) <= 0.1 * F.col("exact")).alias("within_bound"))
+
+
 @query("fm_registers", f", {_FM} SELECT seed::INTEGER AS seed, register::INTEGER AS register FROM r")
 def _(spark, d):
     return sketches.fm_registers(read(spark, d, "lineitem"), "l_partkey")
@@ -384,6 +404,13 @@ def _ranks_sql(rounds: int) -> str:
 _ROUNDS = 15
 
 
+@query("edge_endpoints", f", {_EDGES} SELECT src, dst FROM e WHERE src LIKE 'n%' AND dst LIKE 'r%'")
+def _(spark, d):
+    e = _edges(spark, d)
+    top = graph.vertices(e).filter("node LIKE 'n%' OR node LIKE 'r%'")
+    return graph.between(e, top).filter("src LIKE 'n%'").select("src", "dst")
+
+
 @query("graph_edges", f", {_EDGES} SELECT src, dst, weight FROM e")
 def _(spark, d):
     return _edges(spark, d)

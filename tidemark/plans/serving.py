@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators import relational
+from tidemark.operators import relational, sketches
 
 
 def check_ips(asked: DataFrame, key: str, indicators: DataFrame) -> DataFrame:
@@ -18,6 +20,32 @@ def recent(flows: DataFrame, n: int = 12) -> DataFrame:
     return relational.last_rows(flows.select("row_id", "ts", "Src_IP", "Dst_Port", "Country", "Label"), "row_id", n)
 
 
+class IndicatorFilter:
+    """A Bloom filter of listed addresses on the driver, complete before anyone can see it.
+
+    Its positions are at most as many as the filter has bits, a size fixed when it is made.
+    """
+
+    def __init__(self, indicators: DataFrame, rate: float = 0.01):
+        listed = indicators.filter(F.col("ioc_type").isin("ip", "ip:port")).select("ip_address").distinct()
+        self.bits, self.hashes = sketches.bloom_size(max(1000, listed.count()), rate)
+        self._set = bytearray(-(-self.bits // 8))
+        for r in sketches.bloom_build(listed, "ip_address", self.bits, self.hashes).collect():
+            self._set[r.pos >> 3] |= 1 << (r.pos & 7)
+
+    @property
+    def memory_bytes(self) -> int:
+        return len(self._set)
+
+    def maybe(self, ip: str) -> bool:
+        """False is certain; true may be a false positive."""
+        for seed in range(self.hashes):
+            pos = int(hashlib.md5(f"{seed}:{ip.strip()}".encode()).hexdigest()[:8], 16) % self.bits
+            if not self._set[pos >> 3] & 1 << (pos & 7):
+                return False
+        return True
+
+
 class Api:
     """What a dashboard asks for, over the folder that the medallion plan wrote. Missing tables give None."""
 
