@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-TRAINING_PAGES = 500
+TRAINING_PAGES = 300
 
 _TAG = re.compile(r"""<!--(?:.*?-->|.*)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<[/!?a-zA-Z][^>]*+>""", re.S)
 _ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
@@ -211,7 +211,7 @@ class Field:
         return " ".join([b[0] for b, y in zip(blocks, self.decode(blocks)) if y])
 
 
-def train(pages: list[tuple[list, list[int]]], steps: int = 300, rate: float = 0.1, ridge: float = 2e-3) -> Field:
+def train(pages: list[tuple[list, list[int]]], steps: int = 160, rate: float = 0.15, ridge: float = 2e-3) -> Field:
     """Gradient ascent (Adam) on the mean log-likelihood; ``pages``: (blocks, labels)."""
     pages = [p for p in pages if p[0]]
     rows = [[features(b, i == 0, i == len(blocks) - 1) for i, b in enumerate(blocks)] for blocks, _ in pages]
