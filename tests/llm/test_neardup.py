@@ -51,14 +51,12 @@ def brute(rows, threshold=0.8):
     sets = []
     for _, words in shingles.parts(pa.array([t or "" for _, t in rows])):
         t, h, times = shingles.counted(*words.shingles(5))
-        for i in np.unique(t):
-            pass
         sets.append((t, h, times))
     assert len(sets) == 1
     t, h, times = sets[0]
     df += np.bincount((h >> np.uint64(20)).astype(np.int64) % neardup.BUCKETS, minlength=neardup.BUCKETS)
     idf = neardup.weights_of(df, n)
-    w = times * idf[(h >> np.uint64(20)).astype(np.int64) % neardup.BUCKETS]
+    w = (1 + np.log(times)) * idf[(h >> np.uint64(20)).astype(np.int64) % neardup.BUCKETS]
     parent = list(range(n))
 
     def find(x):
@@ -99,7 +97,8 @@ def test_classes_against_brute_force(spark, seed):
     assert kept == set(brute(rows).values())
 
 
-def test_large_groups_and_odd_rows(spark):
+def test_large_groups_and_odd_rows(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "ALL_PAIRS", 6)
     rnd = random.Random(7)
     words = [f"w{rnd.randrange(500)}" for _ in range(200)]
     rows = []
@@ -116,3 +115,25 @@ def test_large_groups_and_odd_rows(spark):
     assert got[0] == set(range(150)) and all(got[500 + i] == {500 + i} for i in range(20)) and got[900] == {900} and got[None] == {None}
     assert neardup.classes(df.filter("false")).count() == 0
     assert neardup.keep_one(df).filter("doc_id = 0").count() == 1
+
+
+def test_changes_tell_relatives_from_strangers():
+    rnd = np.random.default_rng(4)
+    pivot = np.sort(rnd.integers(0, 2**63, 150).astype(np.uint64))
+
+    def altered(base, n):
+        gone = rnd.choice(len(base), n, replace=False)
+        return np.sort(np.append(np.delete(base, gone), rnd.integers(0, 2**63, n).astype(np.uint64)))
+
+    def met(a, b):
+        return bool(set(neardup.changes(a, pivot)) & set(neardup.changes(b, pivot)))
+
+    for n in (20, 40, 75, 100, 140):
+        hits = 0
+        for _ in range(40):
+            one = altered(pivot, n)
+            two = altered(one, 14)  # a Jaccard similarity of 0.83
+            hits += met(one, two)
+        assert hits >= 37, n
+    assert sum(met(altered(pivot, 20), altered(pivot, 20)) for _ in range(200)) < 40
+    assert sum(met(altered(pivot, 120), altered(pivot, 120)) for _ in range(200)) < 20

@@ -1,17 +1,22 @@
 """Near-duplicates by improved consistent weighted sampling over TF-IDF shingles.
 
-A text is the weighted set of its five-word shingles: term frequency times a smooth inverse document
-frequency. Document frequencies are counted over all documents in a hashed table of ``BUCKETS``
+A text is the weighted set of its five-word shingles: a damped term frequency (1 + ln n: a phrase said
+a hundred times doesn't outweigh the text around it) times a smooth inverse document frequency.
+Document frequencies are counted over all documents in a hashed table of ``BUCKETS``
 numbers, whatever the corpus. Consistent weighted sampling gives ``BANDS * ROWS`` samples of a text;
 two texts agree in a sample with a probability of their weighted Jaccard similarity. Texts that agree
 in all samples of a band are candidates, and a candidate pair is a link when the weighted Jaccard
 similarity of the two whole texts is at least ``threshold``. Classes are the connected components.
 
 Texts with the same words are one text from the start (by a 128-bit hash), so groups of exact copies
-cost nothing further. In a bucket of many texts not all pairs are made: one text, the pivot, is
-compared with all others; those that are linked to it are done, as they share its class; the rest goes
-into the next round with more pivots, until none is left. At 0.8 a pair shares one of the bands with a
-probability of 0.998.
+cost nothing further. In a bucket not all pairs are made: one text from the middle of its group, the
+pivot, is compared with all others, and those linked to it are done, as they share its class. A text
+that isn't linked to the pivot is compared with all others of a bucket of up to ``ALL_PAIRS`` texts. In a
+larger bucket such texts meet again, among themselves, where they differ from the pivot in like ways
+(:func:`changes`), and so on with more pivots until none is left.
+(A text of a large bucket that is not linked to the pivot can still be linked to one that is: such a
+pair is found through the smaller buckets of other bands, which hold the texts that share its changes.)
+At 0.8 a pair shares one of the bands with a probability of 0.998.
 
 Defined results: texts without words are copies of each other, a null text counts as empty; a text of
 fewer than five words is one shingle; rows with a null id take no part and have a null class; the
@@ -40,8 +45,8 @@ BUCKETS = 1 << 18
 #: How far the weight of the rarest shingle exceeds that of one that all documents have. Weights that
 #: differ a lot would take the shared shingles of a large group of copies for unimportant.
 SPREAD = 0.25
-#: Buckets of so many texts are compared pair by pair at once.
-ALL_PAIRS = 3
+#: In buckets of so many texts, a text that isn't linked to the pivot is compared with all the others.
+ALL_PAIRS = 64
 
 _GRID = 1 << 16
 
@@ -93,9 +98,9 @@ def samples(texts: np.ndarray, hashes: np.ndarray, weights: np.ndarray, n: int)
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
     """Weighted Jaccard of two (sorted distinct hashes, weights)."""
-    total = float(a[1].sum() + b[1].sum())
+    total = float(a[1].sum(dtype=np.float64) + b[1].sum(dtype=np.float64))
     _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
-    shared = float(np.minimum(a[1][i], b[1][j]).sum())
+    shared = float(np.minimum(a[1][i], b[1][j]).sum(dtype=np.float64))
     return shared / (total - shared) if total > shared else 1.0
 
 
@@ -126,7 +131,7 @@ def weights_of(frequencies: np.ndarray, rows: int, spread: float = SPREAD) -> np
 
 def _weighted(words, idf: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     t, h, times = counted(*words.shingles(size))
-    return t, h, times * idf[(h >> np.uint64(20)).astype(np.int64) % len(idf)]
+    return t, h, (1 + np.log(times)).astype(np.float32) * idf[(h >> np.uint64(20)).astype(np.int64) % len(idf)]
 
 
 def signatures(docs: DataFrame, idf: np.ndarray, size: int = SIZE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -154,13 +159,39 @@ def signatures(docs: DataFrame, idf: np.ndarray, size: int = SIZE, bands: int =
     return docs.select("id", "text").mapInArrow(sign, "id long, d1 long, d2 long, keys array<long>")
 
 
+def changes(text: np.ndarray, pivot: np.ndarray) -> list[int]:
+    """Band keys of how a text differs from a pivot that it isn't linked to; both as sorted distinct hashes.
+
+    Let D be the symmetric difference of a text with the pivot. Two texts of similarity 0.8 differ by a
+    ninth of their joint size at most, a text without a link to the pivot by more than that from it; so
+    their D overlap by a third at least, while the changes of texts that were altered independently
+    don't. A text that has little of the pivot is told by what it adds alone. In between, both count.
+    """
+    added = np.setdiff1d(text, pivot, assume_unique=True)
+    share = len(added) / max(len(text), 1)
+    out = []
+    for tag, use, these in ((1, share <= 0.6, lambda: np.setxor1d(text, pivot, assume_unique=True)), (2, share >= 0.4, lambda: added)):
+        if use and len(d := these()):
+            least = mix(d[None, :] ^ _SEEDS[:, None]).min(axis=1)
+            keys = mix(mix(least[0::2] + np.uint64(tag)) + least[1::2] + np.arange(len(least) // 2, dtype=np.uint64))
+            out += keys.view(np.int64).tolist()
+    return out
+
+
+#: Of two samples for each of 40 bands.
+_SEEDS = mix(np.arange(1, 81, dtype=np.uint64))
+
+
 def verified(pairs: DataFrame, docs: DataFrame, idf: np.ndarray, threshold: float = THRESHOLD, size: int = SIZE) -> DataFrame:
-    """a, b and ``linked`` of pairs of ids, by the weighted Jaccard similarity of the whole texts."""
+    """a, b, ``linked`` and ``changes`` of pairs, by the weighted Jaccard similarity of the whole texts.
+
+    ``pairs``: a, b and ``pivot``: the one of the two from which to tell the other's changes, or null.
+    """
     left, right = docs.select(F.col("id").alias("a"), F.col("text").alias("ta")), docs.select(F.col("id").alias("b"), F.col("text").alias("tb"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb")
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb", "pivot")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(at, 256) for b in batches for at in range(0, b.num_rows, 256)):
             sides = []
             for c in (2, 3):
                 sets: list = []
@@ -170,36 +201,64 @@ def verified(pairs: DataFrame, docs: DataFrame, idf: np.ndarray, threshold: floa
                     sets += [(h[x:y], w[x:y]) for x, y in zip(cuts[:-1], cuts[1:])]
                 sides.append(sets)
             good = [similarity(x, y) >= threshold - 1e-6 for x, y in zip(*sides)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(good, pa.bool_())], ["a", "b", "linked"])
+            told = []
+            for a, pivot, linked, x, y in zip(batch.column(0).to_pylist(), batch.column(4).to_pylist(), good, *sides):
+                told.append([] if linked or pivot is None else changes(y[0], x[0]) if pivot == a else changes(x[0], y[0]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(good, pa.bool_()), pa.array(told, pa.list_(pa.int64()))], ["a", "b", "linked", "changes"])
 
-    return both.mapInArrow(check, "a long, b long, linked boolean")
+    return both.mapInArrow(check, "a long, b long, linked boolean, changes array<long>")
 
 
 def links(keys: DataFrame, docs: DataFrame, idf: np.ndarray, threshold: float = THRESHOLD, size: int = SIZE) -> DataFrame:
-    """Linked pairs (a < b), enough of them to connect every class. ``keys``: id and band keys of distinct texts."""
+    """Linked pairs (a < b), enough of them to connect every class. ``keys``: id, band keys and copies of distinct texts."""
     members = keys.select("id", F.posexplode("keys").alias("band", "key"))
-    crowd = members.groupBy("band", "key").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
+    crowd = members.groupBy("band", "key").agg(F.count("*").alias("n")).filter("n > 1")
     members = settle(members.join(crowd, ["band", "key"]), "members")
+    # Only texts with company are compared; the others' texts aren't moved again.
+    docs = settle(docs.select("id", "text").join(members.select("id").distinct(), "id", "left_semi"), "company")
+    # A text that has company in many bands, or many copies, lies in the middle of its group.
+    middle = members.groupBy("id").agg(F.sum("n").alias("score")).join(keys.select("id", "copies"), "id")
+    members = settle(members.join(middle, "id").select("band", "key", "id", F.struct("score", "copies").alias("score")), "members")
     found, pivots, turn = None, 1, 0
+
+    def test(met: DataFrame) -> DataFrame:
+        """The tested pairs of (id, p, tell); the linked ones are added to ``found``."""
+        nonlocal found
+        pairs = met.groupBy(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")).agg(F.max(F.when(F.col("tell"), F.col("p"))).alias("pivot"))
+        tested = settle(verified(pairs, docs, idf, threshold, size), "tested")
+        good = tested.filter("linked").select("a", "b")
+        found = good if found is None else found.unionByName(good)
+        return tested
+
     while True:
-        # The hash orders a bucket anew in each band and round; the first one is a pivot, so each round ends some.
-        ordered = members.withColumn("h", F.xxhash64("id", "band", F.lit(turn)))
-        sizes = ordered.groupBy("band", "key").agg(F.count("*").alias("n"), F.min(F.struct("h", "id")).alias("top")).filter("n > 1")
-        placed = ordered.join(sizes, ["band", "key"])
-        placed = placed.withColumn("pivot", (F.col("id") == F.col("top.id")) | (F.col("n") <= ALL_PAIRS) | (F.pmod("h", "n") < pivots - 1)).select("band", "key", "id", "pivot", "h")
-        placed = settle(placed, "placed")
+        placed = members.withColumn("h", F.xxhash64("id", "band", F.lit(turn)))
+        top = placed.groupBy("band", "key").agg(F.count("*").alias("n"), F.max(F.struct("score", "h", "id")).alias("top")).filter("n > 1")
+        placed = placed.join(top, ["band", "key"])
+        placed = settle(placed.withColumn("pivot", (F.col("id") == F.col("top.id")) | (F.pmod("h", "n") < pivots - 1)).select("band", "key", "id", "score", "n", "pivot", "h"), "placed")
         chosen = placed.filter("pivot").select("band", "key", F.col("id").alias("p"), F.col("h").alias("ph"))
         # Two pivots meet once.
         met = placed.join(chosen, ["band", "key"]).filter((F.col("id") != F.col("p")) & (~F.col("pivot") | (F.struct("h", "id") > F.struct("ph", "p"))))
-        met = met.select("band", "key", "id", F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b"))
-        tested = settle(verified(met.select("a", "b").distinct(), docs, idf, threshold, size), "tested")
-        good = tested.filter("linked").select("a", "b")
-        found = good if found is None else found.unionByName(good)
-        done = met.join(good, ["a", "b"]).select("band", "key", "id").distinct()
-        rest = settle(placed.filter("NOT pivot").select("band", "key", "id").join(done, ["band", "key", "id"], "left_anti"), "members")
+        met = met.withColumn("tell", (F.col("n") > ALL_PAIRS) & F.lit(turn == 0))
+        tested = test(met).withColumns({"lo": F.col("a"), "hi": F.col("b")}).drop("a", "b")
+        seen = met.withColumns({"lo": F.least("id", "p"), "hi": F.greatest("id", "p")}).join(tested, ["lo", "hi"])
+        done = seen.filter("linked").select("band", "key", "id").distinct()
+        rest = settle(placed.filter("NOT pivot").join(done, ["band", "key", "id"], "left_anti").select("band", "key", "id", "score", "n"), "rest")
         if rest.isEmpty():
             return found
-        members, pivots, turn = rest, pivots * 4, turn + 1
+        # In a bucket of some size a text without a link meets all the others; in a larger one it goes on.
+        few = rest.filter(F.col("n") <= ALL_PAIRS).select("band", "key", "id")
+        if not few.isEmpty():
+            others = placed.filter((F.col("n") <= ALL_PAIRS) & ~F.col("pivot")).select("band", "key", F.col("id").alias("p"))
+            test(few.join(others, ["band", "key"]).filter(F.col("id") != F.col("p")).withColumn("tell", F.lit(False)))
+        members = rest.filter(F.col("n") > ALL_PAIRS).select("band", "key", "id", "score")
+        if members.isEmpty():
+            return found
+        if turn == 0:
+            # Again only with those that differ from the pivot in like ways.
+            told = seen.filter("tell AND NOT linked AND size(changes) > 0").select("p", "id", "score", "changes").dropDuplicates(["p", "id"])
+            told = told.select("id", "score", "p", F.posexplode("changes").alias("band", "own"))
+            members = settle(told.select("band", F.xxhash64("p", "own").alias("key"), "id", "score"), "members")
+        pivots, turn = pivots * 4, turn + 1
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -225,7 +284,8 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, size: int = SIZE, tex
     signed = settle(signatures(known, idf, size), "signatures")
     first = signed.groupBy("d1", "d2").agg(F.min("id").alias("rep"))
     copies = settle(signed.join(first, ["d1", "d2"]).select("id", "rep", "keys"), "copies")
-    keys = copies.filter("id = rep").dropDuplicates(["id"]).select("id", "keys")
+    many = copies.groupBy("rep").agg(F.count("*").alias("copies")).withColumnRenamed("rep", "id")
+    keys = copies.filter("id = rep").dropDuplicates(["id"]).select("id", "keys").join(many, "id")
     one = known.groupBy("id").agg(F.min("text").alias("text")) if _repeated(copies) else known
     found = links(keys, one, idf, threshold, size)
     # Copies of one id with other texts tie those texts together.
