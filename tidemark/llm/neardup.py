@@ -44,7 +44,7 @@ BANDS, ROWS = 12, 4
 BUCKETS = 1 << 18
 #: How far the weight of the rarest shingle exceeds that of one that all documents have. Weights that
 #: differ a lot would take the shared shingles of a large group of copies for unimportant.
-SPREAD = 0.25
+SPREAD = 0.1
 #: In buckets of so many texts, a text that isn't linked to the pivot is compared with all the others.
 ALL_PAIRS = 64
 
