@@ -173,13 +173,13 @@ def changes(text: np.ndarray, pivot: np.ndarray) -> list[int]:
     for tag, use, these in ((1, share <= 0.6, lambda: np.setxor1d(text, pivot, assume_unique=True)), (2, share >= 0.4, lambda: added)):
         if use and len(d := these()):
             least = mix(d[None, :] ^ _SEEDS[:, None]).min(axis=1)
-            keys = mix(mix(least[0::2] + np.uint64(tag)) + least[1::2] + np.arange(len(least) // 2, dtype=np.uint64))
+            keys = mix(mix(mix(least[0::3] + np.uint64(tag)) + least[1::3]) + least[2::3] + np.arange(len(least) // 3, dtype=np.uint64))
             out += keys.view(np.int64).tolist()
     return out
 
 
-#: Of two samples for each of 40 bands.
-_SEEDS = mix(np.arange(1, 81, dtype=np.uint64))
+#: Of three samples for each of 40 bands.
+_SEEDS = mix(np.arange(1, 121, dtype=np.uint64))
 
 
 def verified(pairs: DataFrame, docs: DataFrame, idf: np.ndarray, threshold: float = THRESHOLD, size: int = SIZE) -> DataFrame:
@@ -188,7 +188,8 @@ def verified(pairs: DataFrame, docs: DataFrame, idf: np.ndarray, threshold: floa
     ``pairs``: a, b and ``pivot``: the one of the two from which to tell the other's changes, or null.
     """
     left, right = docs.select(F.col("id").alias("a"), F.col("text").alias("ta")), docs.select(F.col("id").alias("b"), F.col("text").alias("tb"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb", "pivot")
+    # The lists of pairs and ids grow with the corpus, so they are never broadcast, small as they may look.
+    both = pairs.hint("merge").join(left, "a").hint("merge").join(right, "b").select("a", "b", "ta", "tb", "pivot")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(at, 256) for b in batches for at in range(0, b.num_rows, 256)):
@@ -215,7 +216,7 @@ def links(keys: DataFrame, docs: DataFrame, idf: np.ndarray, threshold: float =
     crowd = members.groupBy("band", "key").agg(F.count("*").alias("n")).filter("n > 1")
     members = settle(members.join(crowd, ["band", "key"]), "members")
     # Only texts with company are compared; the others' texts aren't moved again.
-    docs = settle(docs.select("id", "text").join(members.select("id").distinct(), "id", "left_semi"), "company")
+    docs = settle(docs.select("id", "text").join(members.select("id").distinct().hint("merge"), "id", "left_semi"), "company")
     # A text that has company in many bands, or many copies, lies in the middle of its group.
     middle = members.groupBy("id").agg(F.sum("n").alias("score")).join(keys.select("id", "copies"), "id")
     members = settle(members.join(middle, "id").select("band", "key", "id", F.struct("score", "copies").alias("score")), "members")
