@@ -13,7 +13,7 @@ _BASE, _STEP, _STEP2 = np.uint64(0x9E3779B97F4A7C15 | 1), np.uint64(0xD6E8FEB866
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 #: Bytes worked on at a time; a longer text is worked on whole.
-_CHUNK = 1 << 20
+_CHUNK = 1 << 18
 
 
 class _Powers:
