@@ -49,11 +49,11 @@ def brute(rows, threshold=0.8):
     total = Counter()
     df = np.zeros(neardup.BUCKETS, dtype=np.int64)
     sets = []
-    for _, words in shingles.parts(pa.array([t or "" for _, t in rows])):
+    for span, words in shingles.parts(pa.array([t or "" for _, t in rows])):
         t, h, times = shingles.counted(*words.shingles(5))
+        t = t + span.start
         sets.append((t, h, times))
-    assert len(sets) == 1
-    t, h, times = sets[0]
+    t, h, times = (np.concatenate(x) for x in zip(*sets))
     df += np.bincount((h >> np.uint64(20)).astype(np.int64) % neardup.BUCKETS, minlength=neardup.BUCKETS)
     idf = neardup.weights_of(df, n)
     w = (1 + np.log(times)) * idf[(h >> np.uint64(20)).astype(np.int64) % neardup.BUCKETS]
