@@ -137,3 +137,44 @@ def test_changes_tell_relatives_from_strangers():
         assert hits >= 37, n
     assert sum(met(altered(pivot, 20), altered(pivot, 20)) for _ in range(200)) < 40
     assert sum(met(altered(pivot, 120), altered(pivot, 120)) for _ in range(200)) < 20
+
+
+@pytest.mark.parametrize("limit", [4, 64])
+def test_large_buckets_against_brute_force(spark, monkeypatch, limit):
+    monkeypatch.setattr(neardup, "ALL_PAIRS", limit)
+    rnd = random.Random(11)
+    new = iter(range(10**6))
+    centre = [f"w{rnd.randrange(10**6)}" for _ in range(304)]
+
+    def altered(words, *places):
+        """Words replaced so far apart that each takes five shingles."""
+        return [f"n{next(new)}" if i in places else w for i, w in enumerate(words)]
+
+    rows = [altered(centre, rnd.randrange(280)) for _ in range(90)]
+    for _ in range(12):
+        inner = centre[: rnd.randrange(283, 287)]  # linked to the centre
+        outer = altered(inner, 5, 65, 125)  # linked to the inner one only, at 0.9 of it
+        rows += [inner, outer, altered(outer, *rnd.sample(range(10, 260, 6), 2))]
+    pair = [altered(centre, *range(4, 100, 12)) for _ in range(2)]
+    for p in pair:
+        rows += [altered(p, 150), altered(p, 180), altered(p, 150, 180, 210)]
+    rows = [(i, " ".join(w)) for i, w in enumerate(rows)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.class_id for r in neardup.classes(df).collect()} == brute(rows)
+
+
+def test_blocks_agree_with_the_weighted_similarity():
+    rnd = random.Random(3)
+    words = [f"w{rnd.randrange(40)}" for _ in range(120)]
+    texts = [" ".join(words[rnd.randrange(30) : rnd.randrange(60, 120)] * rnd.choice([1, 1, 3])) for _ in range(40)] + ["a", "é ü"]
+    idf = np.linspace(1, 1.1, 1000).astype(np.float32)
+    sets = []
+    for text in texts:
+        (_, one), = shingles.parts(pa.array([text]))
+        sets.append(neardup._weighted(one, idf, 5)[1:])
+    one, two = neardup.Block(pa.array(texts[:25]), idf, 5), neardup.Block(pa.array(texts), idf, 5)
+    want = np.array([[neardup.similarity(a, b) for b in sets] for a in sets[:25]])
+    shared = one.shared(two, 7)
+    assert np.abs(shared / (one.total[:, None] + two.total - shared) - want).max() < 1e-5
+    for threshold in (0.8, float(want[0, 1]), float(want[3, 9])):
+        assert (one.linked(two, threshold) == (want >= threshold - 1e-6)).all()

@@ -10,12 +10,10 @@ similarity of the two whole texts is at least ``threshold``. Classes are the con
 
 Texts with the same words are one text from the start (by a 128-bit hash), so groups of exact copies
 cost nothing further. In a bucket not all pairs are made: one text from the middle of its group, the
-pivot, is compared with all others, and those linked to it are done, as they share its class. A text
-that isn't linked to the pivot is compared with all others of a bucket of up to ``ALL_PAIRS`` texts. In a
-larger bucket such texts meet again, among themselves, where they differ from the pivot in like ways
-(:func:`changes`), and so on with more pivots until none is left.
-(A text of a large bucket that is not linked to the pivot can still be linked to one that is: such a
-pair is found through the smaller buckets of other bands, which hold the texts that share its changes.)
+pivot, is compared with all others, and those linked to it share its class. A text that isn't linked to
+the pivot is compared with all others of the bucket, linked ones too: pair by pair in a bucket of up to
+``ALL_PAIRS`` texts, in larger ones block by block (:func:`crossed`), for all buckets of a pivot at once.
+So every link between texts that share a bucket joins their classes, whatever the bucket's size.
 At 0.8 a pair shares one of the bands with a probability of 0.998.
 
 Defined results: texts without words are copies of each other, a null text counts as empty; a text of
@@ -45,8 +43,10 @@ BUCKETS = 1 << 18
 #: How far the weight of the rarest shingle exceeds that of one that all documents have. Weights that
 #: differ a lot would take the shared shingles of a large group of copies for unimportant.
 SPREAD = 0.1
-#: In buckets of so many texts, a text that isn't linked to the pivot is compared with all the others.
+#: In buckets of so many texts, a text that isn't linked to the pivot meets all the others pair by pair; in larger ones block by block.
 ALL_PAIRS = 64
+#: Texts of a block without a link to the pivot, and of a block of those they meet.
+ASKING, ASKED = 128, 512
 
 _GRID = 1 << 16
 
@@ -182,14 +182,35 @@ def changes(text: np.ndarray, pivot: np.ndarray) -> list[int]:
 _SEEDS = mix(np.arange(1, 121, dtype=np.uint64))
 
 
-def verified(pairs: DataFrame, docs: DataFrame, idf: np.ndarray, threshold: float = THRESHOLD, size: int = SIZE) -> DataFrame:
-    """a, b, ``linked`` and ``changes`` of pairs, by the weighted Jaccard similarity of the whole texts.
+def changes(text: np.ndarray, pivot: np.ndarray) -> list[int]:
+    """Band keys of how a text differs from a pivot that it isn't linked to; both as sorted distinct hashes.
 
-    ``pairs``: a, b and ``pivot``: the one of the two from which to tell the other's changes, or null.
+    Let D be the symmetric difference of a text with the pivot. Two texts of similarity 0.8 differ by a
+    ninth of their joint size at most, a text without a link to the pivot by more than that from it; so
+    their D overlap by a third at least, while the changes of texts that were altered independently
+    don't. A text that has little of the pivot is told by what it adds alone. In between, both count.
+    :func:`links` doesn't rest on these keys: they find most such pairs, never surely all.
     """
+    added = np.setdiff1d(text, pivot, assume_unique=True)
+    share = len(added) / max(len(text), 1)
+    out = []
+    for tag, use, these in ((1, share <= 0.6, lambda: np.setxor1d(text, pivot, assume_unique=True)), (2, share >= 0.4, lambda: added)):
+        if use and len(d := these()):
+            least = mix(d[None, :] ^ _SEEDS[:, None]).min(axis=1)
+            keys = mix(mix(mix(least[0::3] + np.uint64(tag)) + least[1::3]) + least[2::3] + np.arange(len(least) // 3, dtype=np.uint64))
+            out += keys.view(np.int64).tolist()
+    return out
+
+
+#: Of three samples for each of 40 bands.
+_SEEDS = mix(np.arange(1, 121, dtype=np.uint64))
+
+
+def verified(pairs: DataFrame, docs: DataFrame, idf: np.ndarray, threshold: float = THRESHOLD, size: int = SIZE) -> DataFrame:
+    """a, b and ``linked`` of pairs (a, b), by the weighted Jaccard similarity of the whole texts."""
     left, right = docs.select(F.col("id").alias("a"), F.col("text").alias("ta")), docs.select(F.col("id").alias("b"), F.col("text").alias("tb"))
     # The lists of pairs and ids grow with the corpus, so they are never broadcast, small as they may look.
-    both = pairs.hint("merge").join(left, "a").hint("merge").join(right, "b").select("a", "b", "ta", "tb", "pivot")
+    both = pairs.hint("merge").join(left, "a").hint("merge").join(right, "b").select("a", "b", "ta", "tb")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(at, 256) for b in batches for at in range(0, b.num_rows, 256)):
@@ -202,12 +223,116 @@ def verified(pairs: DataFrame, docs: DataFrame, idf: np.ndarray, threshold: floa
                     sets += [(h[x:y], w[x:y]) for x, y in zip(cuts[:-1], cuts[1:])]
                 sides.append(sets)
             good = [similarity(x, y) >= threshold - 1e-6 for x, y in zip(*sides)]
-            told = []
-            for a, pivot, linked, x, y in zip(batch.column(0).to_pylist(), batch.column(4).to_pylist(), good, *sides):
-                told.append([] if linked or pivot is None else changes(y[0], x[0]) if pivot == a else changes(x[0], y[0]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(good, pa.bool_()), pa.array(told, pa.list_(pa.int64()))], ["a", "b", "linked", "changes"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(good, pa.bool_())], ["a", "b", "linked"])
+
+    return both.mapInArrow(check, "a long, b long, linked boolean")
+
+
+class Block:
+    """Texts as rows of a sparse matrix. A shingle said n times takes n columns whose weights add up to its own,
+    so the weight that two texts share is that of the columns that both have."""
+
+    def __init__(self, texts: pa.Array, idf: np.ndarray, size: int):
+        rows, columns, weights = [], [], []
+        for span, words in parts(texts):
+            t, h, times = counted(*words.shingles(size))
+            of = np.repeat(np.arange(len(h)), times)
+            nth = np.arange(len(of)) - np.repeat(np.cumsum(times) - times, times)
+            gain = np.where(nth == 0, 1.0, np.log1p(nth) - np.log(np.maximum(nth, 1)))
+            rows.append(t[of] + span.start)
+            columns.append(mix(h + np.uint64(1))[of] + nth.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+            weights.append(gain * idf[(h >> np.uint64(20)).astype(np.int64) % len(idf)][of])
+        self.n = len(texts)
+        row, column, weight = (np.concatenate(x) for x in (rows, columns, weights))
+        self.total = np.bincount(row, weight, self.n)
+        order = np.argsort(column, kind="stable")
+        self.row, self.column, self.weight = row[order], column[order], weight[order]
+
+    def shared(self, other: Block, width: int = 4096) -> np.ndarray:
+        """The weight that each text shares with each of the other block's; dense for ``width`` columns at a time."""
+        names = np.intersect1d(self.column, other.column)
+        out = np.zeros((self.n, other.n))
+        for at in range(0, len(names), width):
+            some = names[at : at + width]
+            dense = []
+            for block in (self, other):
+                cut = slice(np.searchsorted(block.column, some[0]), np.searchsorted(block.column, some[-1], side="right"))
+                i = np.searchsorted(some, block.column[cut])
+                held = some[i] == block.column[cut]
+                m = np.zeros((block.n, len(some)), dtype=np.float32)
+                m[block.row[cut][held], i[held]] = block.weight[cut][held] if block is self else 1
+                dense.append(m)
+            out += dense[0] @ dense[1].T
+        return out
+
+    def exactly(self, i: int, other: Block, j: int) -> float:
+        """The shared weight of one text with one of the other block's, without the rounding of single precision."""
+        mine, theirs = self.row == i, other.row == j
+        return float(self.weight[mine][np.isin(self.column[mine], other.column[theirs])].sum())
+
+    def linked(self, other: Block, threshold: float) -> np.ndarray:
+        both = self.total[:, None] + other.total[None, :]
+        s = self.shared(other)
+        s = s / (both - s)
+        out = s >= threshold
+        for i, j in zip(*np.nonzero(np.abs(s - threshold) < 1e-4)):
+            exact = self.exactly(i, other, j)
+            out[i, j] = exact / (both[i, j] - exact) >= threshold - 1e-6
+        return out
+
+
+def crossed(asking: DataFrame, asked: DataFrame, docs: DataFrame, idf: np.ndarray, threshold: float = THRESHOLD, size: int = SIZE) -> DataFrame:
+    """Links (a < b) of each of ``asking`` with any of ``asked`` of the same p, as far as they join classes. Both: (p, id).
+
+    Both are cut into blocks by hash, and every block meets every other in a matrix product. A row moves
+    once for each block it meets, never for each text, and a task holds one block of each at a time.
+    """
 
-    return both.mapInArrow(check, "a long, b long, linked boolean, changes array<long>")
+    def cut(texts: DataFrame, most: int, block: str, blocks: str) -> tuple[DataFrame, DataFrame]:
+        sizes = texts.groupBy("p").agg(F.ceil(F.count("*") / most).cast("int").alias(blocks))
+        return texts.withColumn("h", F.pmod(F.xxhash64("id"), F.lit(1 << 30)).cast("int")), sizes
+
+    q, q_sizes = cut(asking, ASKING, "q", "qs")
+    m, m_sizes = cut(asked, ASKED, "m", "ms")
+    sizes = settle(q_sizes.hint("merge").join(m_sizes, "p"), "blocks")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    q = q.hint("merge").join(sizes, "p").select("p", (F.col("h") % F.col("qs")).alias("q"), every("ms").alias("m"), F.lit(0).alias("side"), "id")
+    m = m.hint("merge").join(sizes, "p").select("p", every("qs").alias("q"), (F.col("h") % F.col("ms")).alias("m"), F.lit(1).alias("side"), "id")
+    rows = q.unionByName(m).hint("merge").join(docs.select("id", "text"), "id").select("p", "q", "m", "side", "id", "text")
+    rows = rows.repartition("p", "q", "m").sortWithinPartitions("p", "q", "m", "side")
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit, waiting, block, own, group = None, [], None, None, None
+        for batch in (b.slice(at, 256) for b in batches for at in range(0, b.num_rows, 256)):
+            names = np.stack([batch.column(k).to_numpy() for k in range(4)])
+            starts = np.flatnonzero(np.append(True, (names[:, 1:] != names[:, :-1]).any(axis=0)))
+            for x, y in zip(starts, np.append(starts[1:], batch.num_rows)):
+                ids, texts = batch.column(4).slice(x, y - x), batch.column(5).slice(x, y - x)
+                if (this := tuple(names[:3, x].tolist())) != unit:
+                    unit, waiting, block = this, [], None
+                if not names[3, x]:
+                    waiting.append((ids, texts))
+                    continue
+                if not waiting:
+                    continue  # a block that got no texts
+                if block is None:
+                    own = np.concatenate([i.to_numpy() for i, _ in waiting])
+                    block, group = Block(pa.chunked_array([t for _, t in waiting]).combine_chunks(), idf, size), np.arange(len(own))
+                a, b = [], []
+                linked = block.linked(Block(texts, idf, size), threshold)
+                for j, other in enumerate(ids.to_numpy()):
+                    # One link to each class of the asking texts so far; then these are one class.
+                    at = np.flatnonzero(linked[:, j])
+                    labels, first = np.unique(group[at], return_index=True)
+                    if len(labels) > 1:
+                        group[np.isin(group, labels)] = labels[0]
+                    a += own[at[first]].tolist()
+                    b += [int(other)] * len(first)
+                ends = np.array([a, b], dtype=np.int64).reshape(2, -1)
+                ends = np.sort(ends[:, ends[0] != ends[1]], axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(ends[0]), pa.array(ends[1])], ["a", "b"])
+
+    return rows.mapInArrow(meet, "a long, b long")
 
 
 def links(keys: DataFrame, docs: DataFrame, idf: np.ndarray, threshold: float = THRESHOLD, size: int = SIZE) -> DataFrame:
@@ -219,47 +344,25 @@ def links(keys: DataFrame, docs: DataFrame, idf: np.ndarray, threshold: float =
     docs = settle(docs.select("id", "text").join(members.select("id").distinct().hint("merge"), "id", "left_semi"), "company")
     # A text that has company in many bands, or many copies, lies in the middle of its group.
     middle = members.groupBy("id").agg(F.sum("n").alias("score")).join(keys.select("id", "copies"), "id")
-    members = settle(members.join(middle, "id").select("band", "key", "id", F.struct("score", "copies").alias("score")), "members")
-    found, pivots, turn = None, 1, 0
-
-    def test(met: DataFrame) -> DataFrame:
-        """The tested pairs of (id, p, tell); the linked ones are added to ``found``."""
-        nonlocal found
-        pairs = met.groupBy(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")).agg(F.max(F.when(F.col("tell"), F.col("p"))).alias("pivot"))
-        tested = settle(verified(pairs, docs, idf, threshold, size), "tested")
-        good = tested.filter("linked").select("a", "b")
-        found = good if found is None else found.unionByName(good)
-        return tested
-
-    while True:
-        placed = members.withColumn("h", F.xxhash64("id", "band", F.lit(turn)))
-        top = placed.groupBy("band", "key").agg(F.count("*").alias("n"), F.max(F.struct("score", "h", "id")).alias("top")).filter("n > 1")
-        placed = placed.join(top, ["band", "key"])
-        placed = settle(placed.withColumn("pivot", (F.col("id") == F.col("top.id")) | (F.pmod("h", "n") < pivots - 1)).select("band", "key", "id", "score", "n", "pivot", "h"), "placed")
-        chosen = placed.filter("pivot").select("band", "key", F.col("id").alias("p"), F.col("h").alias("ph"))
-        # Two pivots meet once.
-        met = placed.join(chosen, ["band", "key"]).filter((F.col("id") != F.col("p")) & (~F.col("pivot") | (F.struct("h", "id") > F.struct("ph", "p"))))
-        met = met.withColumn("tell", (F.col("n") > ALL_PAIRS) & F.lit(turn == 0))
-        tested = test(met).withColumns({"lo": F.col("a"), "hi": F.col("b")}).drop("a", "b")
-        seen = met.withColumns({"lo": F.least("id", "p"), "hi": F.greatest("id", "p")}).join(tested, ["lo", "hi"])
-        done = seen.filter("linked").select("band", "key", "id").distinct()
-        rest = settle(placed.filter("NOT pivot").join(done, ["band", "key", "id"], "left_anti").select("band", "key", "id", "score", "n"), "rest")
-        if rest.isEmpty():
-            return found
-        # In a bucket of some size a text without a link meets all the others; in a larger one it goes on.
-        few = rest.filter(F.col("n") <= ALL_PAIRS).select("band", "key", "id")
-        if not few.isEmpty():
-            others = placed.filter((F.col("n") <= ALL_PAIRS) & ~F.col("pivot")).select("band", "key", F.col("id").alias("p"))
-            test(few.join(others, ["band", "key"]).filter(F.col("id") != F.col("p")).withColumn("tell", F.lit(False)))
-        members = rest.filter(F.col("n") > ALL_PAIRS).select("band", "key", "id", "score")
-        if members.isEmpty():
-            return found
-        if turn == 0:
-            # Again only with those that differ from the pivot in like ways.
-            told = seen.filter("tell AND NOT linked AND size(changes) > 0").select("p", "id", "score", "changes").dropDuplicates(["p", "id"])
-            told = told.select("id", "score", "p", F.posexplode("changes").alias("band", "own"))
-            members = settle(told.select("band", F.xxhash64("p", "own").alias("key"), "id", "score"), "members")
-        pivots, turn = pivots * 4, turn + 1
+    members = members.join(middle, "id").select("band", "key", "id", "n", F.struct("score", "copies", F.xxhash64("id", "band").alias("h"), "id").alias("score"))
+    members = settle(members, "members")
+    top = members.groupBy("band", "key").agg(F.max("score").alias("top")).select("band", "key", F.col("top.id").alias("p"))
+    placed = settle(members.join(top, ["band", "key"]).filter("id <> p").select("band", "key", "id", "n", "p", F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")), "placed")
+
+    tested = settle(verified(placed.select("a", "b").distinct(), docs, idf, threshold, size), "tested")
+    found = tested.filter("linked").select("a", "b")
+    rest = settle(placed.join(tested.filter("NOT linked"), ["a", "b"]).select("band", "key", "id", "n", "p"), "rest")
+    few = rest.filter(F.col("n") <= ALL_PAIRS).select("band", "key", "id")
+    if not few.isEmpty():
+        others = placed.filter(F.col("n") <= ALL_PAIRS).select("band", "key", F.col("id").alias("other"))
+        pairs = few.join(others, ["band", "key"]).filter("id <> other").select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
+        found = found.unionByName(settle(verified(pairs, docs, idf, threshold, size), "tested").filter("linked").select("a", "b"))
+    # What differs from band to band of a pivot is compared once.
+    asking = settle(rest.filter(F.col("n") > ALL_PAIRS).select("p", "id").distinct(), "asking")
+    if not asking.isEmpty():
+        asked = placed.filter(F.col("n") > ALL_PAIRS).select("p", "id").distinct()
+        found = found.unionByName(settle(crossed(asking, asked, docs, idf, threshold, size), "crossed"))
+    return found
 
 
 def components(edges: DataFrame) -> DataFrame:
