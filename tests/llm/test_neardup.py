@@ -178,3 +178,14 @@ def test_blocks_agree_with_the_weighted_similarity():
     assert np.abs(shared / (one.total[:, None] + two.total - shared) - want).max() < 1e-5
     for threshold in (0.8, float(want[0, 1]), float(want[3, 9])):
         assert (one.linked(two, threshold) == (want >= threshold - 1e-6)).all()
+
+
+def test_changes_meet_at_an_overlap_of_a_third():
+    rnd = np.random.default_rng(8)
+    hits = 0
+    for _ in range(300):
+        pivot = np.sort(rnd.integers(0, 2**63, 150).astype(np.uint64))
+        gone = rnd.choice(150, 30, replace=False)  # ten in both, of thirty
+        one, two = np.delete(pivot, gone[:20]), np.delete(pivot, gone[10:])
+        hits += bool(set(neardup.changes(one, pivot)) & set(neardup.changes(two, pivot)))
+    assert hits >= 288

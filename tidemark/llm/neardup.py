@@ -173,13 +173,13 @@ def changes(text: np.ndarray, pivot: np.ndarray) -> list[int]:
     for tag, use, these in ((1, share <= 0.6, lambda: np.setxor1d(text, pivot, assume_unique=True)), (2, share >= 0.4, lambda: added)):
         if use and len(d := these()):
             least = mix(d[None, :] ^ _SEEDS[:, None]).min(axis=1)
-            keys = mix(mix(mix(least[0::3] + np.uint64(tag)) + least[1::3]) + least[2::3] + np.arange(len(least) // 3, dtype=np.uint64))
+            keys = mix(mix(least[0::2] + np.uint64(tag)) + least[1::2] + np.arange(len(least) // 2, dtype=np.uint64))
             out += keys.view(np.int64).tolist()
     return out
 
 
-#: Of three samples for each of 40 bands.
-_SEEDS = mix(np.arange(1, 121, dtype=np.uint64))
+#: Of two samples for each of 40 bands: 0.991 at an overlap of a third.
+_SEEDS = mix(np.arange(1, 81, dtype=np.uint64))
 
 
 def changes(text: np.ndarray, pivot: np.ndarray) -> list[int]:
@@ -197,13 +197,13 @@ def changes(text: np.ndarray, pivot: np.ndarray) -> list[int]:
     for tag, use, these in ((1, share <= 0.6, lambda: np.setxor1d(text, pivot, assume_unique=True)), (2, share >= 0.4, lambda: added)):
         if use and len(d := these()):
             least = mix(d[None, :] ^ _SEEDS[:, None]).min(axis=1)
-            keys = mix(mix(mix(least[0::3] + np.uint64(tag)) + least[1::3]) + least[2::3] + np.arange(len(least) // 3, dtype=np.uint64))
+            keys = mix(mix(least[0::2] + np.uint64(tag)) + least[1::2] + np.arange(len(least) // 2, dtype=np.uint64))
             out += keys.view(np.int64).tolist()
     return out
 
 
-#: Of three samples for each of 40 bands.
-_SEEDS = mix(np.arange(1, 121, dtype=np.uint64))
+#: Of two samples for each of 40 bands: 0.991 at an overlap of a third.
+_SEEDS = mix(np.arange(1, 81, dtype=np.uint64))
 
 
 def verified(pairs: DataFrame, docs: DataFrame, idf: np.ndarray, threshold: float = THRESHOLD, size: int = SIZE) -> DataFrame:
