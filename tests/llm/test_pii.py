@@ -74,3 +74,10 @@ def test_mask(spark):
     got = pii.mask(df).collect()
     assert {r.text for r in got if r.doc_id == 1} == {'Mail me: [EMAIL] or [IP], token = "[SECRET]" end.'}
     assert [(r.text, r.n_chars, r.base) for r in got if r.doc_id > 1] == [(None, None, "s"), ("clean text, version 1.2", 23, "s")]
+
+
+def test_long_secrets_are_candidates():
+    for n in (20, 200, 201, 5000):
+        key = ("a1B2" * n)[:n]
+        text = f'token = "{key}" end'
+        assert pii.loose_spans(text, []) == [(9, 9 + n, "secret")], n
