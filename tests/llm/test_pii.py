@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 import pytest
@@ -39,9 +40,58 @@ def test_long_runs_are_linear():
 
 def test_em_finds_the_reliable_labelers():
     counts = {"secret|11111|4|1": 400, "secret|11112|4|1": 200, "secret|00000|2|1": 300, "secret|00002|2|1": 100, "secret|10000|2|1": 60, "secret|01111|4|1": 40}
-    table, post = pii.reliabilities(counts)
+    table, post = pii.reliabilities(counts, {})
     assert post["secret|11111|4|1"] > 0.95 and post["secret|00000|2|1"] < 0.05 and post["secret|01111|4|1"] > 0.5
-    assert (table.sum(axis=2).round(6) == 1).all() and all(table[j, 1, 1] > table[j, 0, 1] for j in range(5))
+    k = pii.ADDED.index("secret")
+    assert (table.sum(axis=3).round(6) == 1).all() and all(table[k, j, 1, 1] > table[k, j, 0, 1] for j in range(5))
+
+
+CORPORA = ({}, {"secret|21212|2|0": 145, "secret|22111|5|1": 10**9}, {"secret|22212|5|1": 10**6}, {f"{k}|11111|1|1": 10**7 for k in pii.ADDED})
+
+
+@pytest.mark.parametrize("counts", CORPORA)
+def test_votes_against_are_heard_whatever_the_corpus(counts):
+    model = pii.SpanClassifier.train(counts)
+    rest = [f"|{size}|{digits}" for size in range(6) for digits in range(4)]
+    assert not any(model.accepts(f"{k}|00000{x}") for k in pii.ADDED for x in rest)
+    assert all(model.accepts(f"{k}|11111{x}") for k in pii.ADDED for x in rest)
+
+
+def labelled(rnd):
+    """Snippets of personal data and of look-alikes, with words and forms of their own."""
+    run = lambda letters, n: "".join(rnd.choice(letters) for _ in range(n))
+    word = lambda: rnd.choice("vel nora quist amber dolmen fjord pale wren oxbow tarn ledger abbey kiln moss".split())
+    hexes, code = "0123456789abcdef", "ABCDEFGHJKMNPQRSTVWXYZabcdefghijkmnpqrstvwxyz23456789"
+    long = f"{run(code, 30)}7aQ"
+    phone = f"{rnd.randint(2, 9)}{rnd.randint(0, 8)}{rnd.randint(2, 8)}", f"{rnd.randint(2, 9)}{run('123456789', 2)}", run("123456789", 4)
+    uuid = "-".join(run(hexes, n) for n in (8, 4, 4, 4, 12))
+    good = [f"{word()} {word()}: the DB_PASSWORD={run(code, 9)}x9 {word()}", f"{{'auth_token': '{long}'}}", f"{word()} set secret = {long} now", f"export API_KEY=\"{long}\"", f"{word()}, AKIA{run('ABCDEFGHJKLMNPQ234567', 16)}, {word()}", f"x = ghp_{run(code, 36)} {word()}", f"password: {run('abcdefgh', 5)}{run('0123456789', 3)}!"]
+    good += [f"Ring {word()} on ({phone[0]}) {phone[1]}-{phone[2]}.", f"{word()} {'-'.join(phone)} {word()}", f"her mobile {'.'.join(phone)} is off", f"SSN: {rnd.randint(100, 650)}-{rnd.randint(10, 98)}-{rnd.randint(1000, 9998)}", f"{word()} of {rnd.randint(100, 650)}-{rnd.randint(10, 98)}-{rnd.randint(1000, 9998)}, {word()}"]
+    good += [f"mail {word()}.{word()} [at] {word()} [dot] org {word()}", f"reach {word()}(at){word()}.com today"]
+    bad = [f"merged commit {run(hexes, 40)} of {word()}", f"{word()} {run(hexes, 31)}f {word()}", f"sha256 {run(hexes, 63)}a", f"request {uuid} failed", f"/opt/{word()}/lib/python3/{word()}/{word()}", f"see {word()}-{word()}-of-the-{word()}-{rnd.randint(2, 99)}-{word()}-{word()}", f"call {word()}_{word()}_{word()}_{word()}_v2_{word()}"]
+    bad += [f"ISBN {rnd.randint(100, 999)}-{rnd.randint(100, 999)}-{rnd.randint(1000, 9999)}", f"{word()} {rnd.randint(2, 9)}00 {rnd.randint(2, 9)}00 {rnd.randint(2, 9)}000 {word()}", f"SKU {'-'.join(phone)}", f"serial {rnd.randint(100, 650)}-{rnd.randint(10, 98)}-{rnd.randint(1000, 9998)}", f"{word()} 000-{rnd.randint(10, 99)}-{rnd.randint(1000, 9999)}", f"{word()} QZ{rnd.randint(10, 99)} {rnd.randint(1000, 9999)} {rnd.randint(1000, 9999)} {rnd.randint(1000, 9999)}", f"waited (at) {word()}. After that", f"the secret: {word()} {word()} and {word()}", f"version {rnd.randint(100, 199)}.{rnd.randint(200, 999)}.{rnd.randint(1000, 9999)}"]
+    return good, bad
+
+
+@pytest.mark.parametrize("counts", CORPORA)
+def test_held_out_precision_and_recall(counts):
+    rnd, model = random.Random(99), pii.SpanClassifier.train(counts)
+    right = wrong = missed = refused = 0
+    for _ in range(40):
+        good, bad = labelled(rnd)
+        for texts, personal in ((good, True), (bad, False)):
+            for t in texts:
+                found = any(model.accepts(pii.pattern_of(t, s)) for s in pii.loose_spans(t, pii.base_spans(t)))
+                right, wrong, missed, refused = right + (found and personal), wrong + (found and not personal), missed + (personal and not found), refused + (not personal and not found)
+                if found != personal:
+                    print(personal, t, [pii.pattern_of(t, s) for s in pii.loose_spans(t, pii.base_spans(t))])
+    assert right + missed >= 200 and wrong + refused >= 200
+    assert right >= 0.95 * (right + wrong) and right >= 0.95 * (right + missed), (right, wrong, missed)
+
+
+@pytest.mark.parametrize("text", ["id 550e8400-e29b-41d4-a716-446655440000", "commit 1beb58b8af68854f0e01b4ad40cdbb6ae7f578ae", "see 1beb58b8af68854f0e01b4ad40cdbb6ae7f578ae.", "/usr/local/lib/python3/dist-packages/foo", "ISBN 978-316-1484", "200 300 4000", "rows 200 300 4000 in all"])
+def test_look_alikes_stay(text):
+    assert pii.masked(text, pii.SpanClassifier.train({})) == text
 
 
 def test_documents(spark):
