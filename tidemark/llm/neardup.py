@@ -10,9 +10,22 @@ similarity of the two whole texts is at least ``threshold``. Classes are the con
 
 Texts with the same words are one text from the start (by a 128-bit hash), so groups of exact copies
 cost nothing further. In a bucket not all pairs are made: one text from the middle of its group, the
-pivot, is compared with all others, and those linked to it share its class. A text that isn't linked to
-the pivot is compared with all others of the bucket, linked ones too: pair by pair in a bucket of up to
-``ALL_PAIRS`` texts, in larger ones block by block (:func:`crossed`), for all buckets of a pivot at once.
+pivot, is compared with all others, and those linked to it share its class. In a bucket of up to
+``ALL_PAIRS`` texts, one that isn't linked to the pivot is compared with all others. In larger ones the
+texts without a link ask, and only pairs that can be links are compared, which :func:`judged` tells exactly:
+
+    Let M be the weight that two texts share, X, Y, P the weights of a text x without a link to the
+    pivot p, of another text y and of p, and T = threshold / (1 + threshold). x and y are a link if and
+    only if M(x, y) >= T (X + Y). What they share beyond what p has is at least T (X + Y) - M(x, p), which is
+    slack - T (P - Y) with slack = T (X + P) - M(x, p) > 0. So unless y is lighter than p by
+    slack / 2T, x and y share shingles that p lacks (or has less often) of a weight of slack / 2, and
+    one of them is among the first of those of x, in any fixed order, whose weights add up to more than
+    all of them less slack / 2.
+
+So every text of a large bucket is indexed by what it has beyond the pivot, rarest shingles first, and
+asks with that prefix. Groups of an index key of up to ``CROWD`` texts give pairs to verify. A text that asks
+through a larger group, or has lighter texts to ask, is first compared with a few texts near
+the pivot; one that is linked to none of them meets that group in blocks (:func:`crossed`).
 So every link between texts that share a bucket joins their classes, whatever the bucket's size.
 At 0.8 a pair shares one of the bands with a probability of 0.998.
 
@@ -20,7 +33,7 @@ Defined results: texts without words are copies of each other, a null text count
 fewer than five words is one shingle; rows with a null id take no part and have a null class; the
 class id is the smallest document id of the class; rows with the same id and different texts put these
 texts into one class; an empty table gives no rows; extra columns are ignored; very long texts are
-read whole.
+read whole; rows with one id and different texts are told apart by row and tied together in the end.
 """
 
 from __future__ import annotations
@@ -30,7 +43,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import mix, settle, table, text_or_empty
@@ -43,8 +56,10 @@ BUCKETS = 1 << 18
 #: How far the weight of the rarest shingle exceeds that of one that all documents have. Weights that
 #: differ a lot would take the shared shingles of a large group of copies for unimportant.
 SPREAD = 0.1
-#: In buckets of so many texts, a text that isn't linked to the pivot meets all the others pair by pair; in larger ones block by block.
-ALL_PAIRS = 64
+#: In buckets of so many texts, one that isn't linked to the pivot meets all the others; in larger ones those that share an index key.
+ALL_PAIRS = 8
+#: An index key of more texts is met in blocks, by texts without a link to any of so many texts near the pivot.
+CROWD, HELPERS = 64, 4
 #: Texts of a block without a link to the pivot, and of a block of those they meet.
 ASKING, ASKED = 128, 512
 
@@ -159,73 +174,72 @@ def signatures(docs: DataFrame, idf: np.ndarray, size: int = SIZE, bands: int =
     return docs.select("id", "text").mapInArrow(sign, "id long, d1 long, d2 long, keys array<long>")
 
 
-def changes(text: np.ndarray, pivot: np.ndarray) -> list[int]:
-    """Band keys of how a text differs from a pivot that it isn't linked to; both as sorted distinct hashes.
-
-    Let D be the symmetric difference of a text with the pivot. Two texts of similarity 0.8 differ by a
-    ninth of their joint size at most, a text without a link to the pivot by more than that from it; so
-    their D overlap by a third at least, while the changes of texts that were altered independently
-    don't. A text that has little of the pivot is told by what it adds alone. In between, both count.
-    """
-    added = np.setdiff1d(text, pivot, assume_unique=True)
-    share = len(added) / max(len(text), 1)
-    out = []
-    for tag, use, these in ((1, share <= 0.6, lambda: np.setxor1d(text, pivot, assume_unique=True)), (2, share >= 0.4, lambda: added)):
-        if use and len(d := these()):
-            least = mix(d[None, :] ^ _SEEDS[:, None]).min(axis=1)
-            keys = mix(mix(least[0::2] + np.uint64(tag)) + least[1::2] + np.arange(len(least) // 2, dtype=np.uint64))
-            out += keys.view(np.int64).tolist()
+def _sets(texts: pa.Array, idf: np.ndarray, size: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(sorted distinct hashes, weights) of each text."""
+    out: list = []
+    for span, words in parts(texts):
+        t, h, w = _weighted(words, idf, size)
+        cuts = np.searchsorted(t, np.arange(span.stop - span.start + 1))
+        out += [(h[x:y], w[x:y]) for x, y in zip(cuts[:-1], cuts[1:])]
     return out
 
 
-#: Of two samples for each of 40 bands: 0.991 at an overlap of a third.
-_SEEDS = mix(np.arange(1, 81, dtype=np.uint64))
+def _with_texts(pairs: DataFrame, docs: DataFrame, a: str, b: str) -> DataFrame:
+    left, right = docs.select(F.col("id").alias(a), F.col("text").alias("ta")), docs.select(F.col("id").alias(b), F.col("text").alias("tb"))
+    # The lists of pairs and ids grow with the corpus, so they are never broadcast, small as they may look.
+    return pairs.hint("merge").join(left, a).hint("merge").join(right, b)
 
 
-def changes(text: np.ndarray, pivot: np.ndarray) -> list[int]:
-    """Band keys of how a text differs from a pivot that it isn't linked to; both as sorted distinct hashes.
+def verified(pairs: DataFrame, docs: DataFrame, idf: np.ndarray, threshold: float = THRESHOLD, size: int = SIZE) -> DataFrame:
+    """a, b and ``linked`` of pairs (a, b), by the weighted Jaccard similarity of the whole texts."""
 
-    Let D be the symmetric difference of a text with the pivot. Two texts of similarity 0.8 differ by a
-    ninth of their joint size at most, a text without a link to the pivot by more than that from it; so
-    their D overlap by a third at least, while the changes of texts that were altered independently
-    don't. A text that has little of the pivot is told by what it adds alone. In between, both count.
-    :func:`links` doesn't rest on these keys: they find most such pairs, never surely all.
-    """
-    added = np.setdiff1d(text, pivot, assume_unique=True)
-    share = len(added) / max(len(text), 1)
-    out = []
-    for tag, use, these in ((1, share <= 0.6, lambda: np.setxor1d(text, pivot, assume_unique=True)), (2, share >= 0.4, lambda: added)):
-        if use and len(d := these()):
-            least = mix(d[None, :] ^ _SEEDS[:, None]).min(axis=1)
-            keys = mix(mix(least[0::2] + np.uint64(tag)) + least[1::2] + np.arange(len(least) // 2, dtype=np.uint64))
-            out += keys.view(np.int64).tolist()
-    return out
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (b.slice(at, 256) for b in batches for at in range(0, b.num_rows, 256)):
+            good = [similarity(x, y) >= threshold - 1e-6 for x, y in zip(_sets(batch.column(2), idf, size), _sets(batch.column(3), idf, size))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(good, pa.bool_())], ["a", "b", "linked"])
 
+    return _with_texts(pairs, docs, "a", "b").select("a", "b", "ta", "tb").mapInArrow(check, "a long, b long, linked boolean")
 
-#: Of two samples for each of 40 bands: 0.991 at an overlap of a third.
-_SEEDS = mix(np.arange(1, 81, dtype=np.uint64))
 
+def beyond(text: tuple[np.ndarray, np.ndarray], pivot: tuple[np.ndarray, np.ndarray], idf: np.ndarray, threshold: float) -> tuple[float, float, np.ndarray, int]:
+    """(how much lighter than the pivot, slack, what it has beyond the pivot with the rarest first, how many of these to ask by)."""
+    share = (threshold - 2e-6) / (1 + threshold - 2e-6)
+    h, w = text[0], text[1].astype(np.float64)
+    i = np.searchsorted(pivot[0], h)
+    held = np.zeros(len(h))
+    if len(pivot[0]):
+        same = pivot[0][np.minimum(i, len(pivot[0]) - 1)] == h
+        held[same] = pivot[1][i[same]]
+    heavy = float(pivot[1].sum(dtype=np.float64))
+    slack = share * (float(w.sum()) + heavy) - float(np.minimum(w, held).sum())
+    more = w - held
+    at = np.flatnonzero(more > 1e-9)
+    at = at[np.lexsort((h[at], -idf[(h[at] >> np.uint64(20)).astype(np.int64) % len(idf)]))]
+    before = np.cumsum(more[at])
+    ask = int(np.searchsorted(before, before[-1] - slack / 2, side="right")) + 1 if len(at) and slack > 0 else 0
+    return heavy - float(w.sum()), slack / (2 * share), h[at], min(ask, len(at))
 
-def verified(pairs: DataFrame, docs: DataFrame, idf: np.ndarray, threshold: float = THRESHOLD, size: int = SIZE) -> DataFrame:
-    """a, b and ``linked`` of pairs (a, b), by the weighted Jaccard similarity of the whole texts."""
-    left, right = docs.select(F.col("id").alias("a"), F.col("text").alias("ta")), docs.select(F.col("id").alias("b"), F.col("text").alias("tb"))
-    # The lists of pairs and ids grow with the corpus, so they are never broadcast, small as they may look.
-    both = pairs.hint("merge").join(left, "a").hint("merge").join(right, "b").select("a", "b", "ta", "tb")
+
+def judged(pairs: DataFrame, docs: DataFrame, idf: np.ndarray, threshold: float = THRESHOLD, size: int = SIZE) -> DataFrame:
+    """Of pairs (id, p, large) of a text and its pivot: linked, and for large buckets what tells which texts may be
+    linked to one that isn't linked to the pivot: ``lighter`` (P - Y), ``reach`` (slack / 2T), ``keys``, ``ask``."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(at, 256) for b in batches for at in range(0, b.num_rows, 256)):
-            sides = []
-            for c in (2, 3):
-                sets: list = []
-                for span, words in parts(batch.column(c)):
-                    t, h, w = _weighted(words, idf, size)
-                    cuts = np.searchsorted(t, np.arange(span.stop - span.start + 1))
-                    sets += [(h[x:y], w[x:y]) for x, y in zip(cuts[:-1], cuts[1:])]
-                sides.append(sets)
-            good = [similarity(x, y) >= threshold - 1e-6 for x, y in zip(*sides)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(good, pa.bool_())], ["a", "b", "linked"])
-
-    return both.mapInArrow(check, "a long, b long, linked boolean")
+            good, lighter, reach, keys, ask = [], [], [], [], []
+            for large, x, p in zip(batch.column(2).to_pylist(), _sets(batch.column(3), idf, size), _sets(batch.column(4), idf, size)):
+                good.append(similarity(x, p) >= threshold - 1e-6)
+                less, far, own, n = beyond(x, p, idf, threshold) if large else (0.0, 0.0, np.zeros(0, np.uint64), 0)
+                lighter.append(less)
+                reach.append(far)
+                keys.append(own.view(np.int64))
+                ask.append(n)
+            ends = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *keys])))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(good, pa.bool_()), pa.array(lighter), pa.array(reach), lists, pa.array(ask, pa.int32())], ["id", "p", "large", "linked", "lighter", "reach", "keys", "ask"])
+
+    both = _with_texts(pairs, docs, "id", "p").select("id", "p", "large", "ta", "tb")
+    return both.mapInArrow(check, "id long, p long, large boolean, linked boolean, lighter double, reach double, keys array<long>, ask int")
 
 
 class Block:
@@ -335,6 +349,10 @@ def crossed(asking: DataFrame, asked: DataFrame, docs: DataFrame, idf: np.ndarra
     return rows.mapInArrow(meet, "a long, b long")
 
 
+def _ends(x: str, y: str) -> list:
+    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+
+
 def links(keys: DataFrame, docs: DataFrame, idf: np.ndarray, threshold: float = THRESHOLD, size: int = SIZE) -> DataFrame:
     """Linked pairs (a < b), enough of them to connect every class. ``keys``: id, band keys and copies of distinct texts."""
     members = keys.select("id", F.posexplode("keys").alias("band", "key"))
@@ -344,25 +362,52 @@ def links(keys: DataFrame, docs: DataFrame, idf: np.ndarray, threshold: float =
     docs = settle(docs.select("id", "text").join(members.select("id").distinct().hint("merge"), "id", "left_semi"), "company")
     # A text that has company in many bands, or many copies, lies in the middle of its group.
     middle = members.groupBy("id").agg(F.sum("n").alias("score")).join(keys.select("id", "copies"), "id")
-    members = members.join(middle, "id").select("band", "key", "id", "n", F.struct("score", "copies", F.xxhash64("id", "band").alias("h"), "id").alias("score"))
+    members = members.join(middle, "id").select("band", "key", "id", "n", F.struct("score", "copies", F.xxhash64("id").alias("h"), "id").alias("score"))
     members = settle(members, "members")
     top = members.groupBy("band", "key").agg(F.max("score").alias("top")).select("band", "key", F.col("top.id").alias("p"))
-    placed = settle(members.join(top, ["band", "key"]).filter("id <> p").select("band", "key", "id", "n", "p", F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")), "placed")
-
-    tested = settle(verified(placed.select("a", "b").distinct(), docs, idf, threshold, size), "tested")
-    found = tested.filter("linked").select("a", "b")
-    rest = settle(placed.join(tested.filter("NOT linked"), ["a", "b"]).select("band", "key", "id", "n", "p"), "rest")
-    few = rest.filter(F.col("n") <= ALL_PAIRS).select("band", "key", "id")
-    if not few.isEmpty():
-        others = placed.filter(F.col("n") <= ALL_PAIRS).select("band", "key", F.col("id").alias("other"))
-        pairs = few.join(others, ["band", "key"]).filter("id <> other").select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
-        found = found.unionByName(settle(verified(pairs, docs, idf, threshold, size), "tested").filter("linked").select("a", "b"))
-    # What differs from band to band of a pivot is compared once.
-    asking = settle(rest.filter(F.col("n") > ALL_PAIRS).select("p", "id").distinct(), "asking")
-    if not asking.isEmpty():
-        asked = placed.filter(F.col("n") > ALL_PAIRS).select("p", "id").distinct()
-        found = found.unionByName(settle(crossed(asking, asked, docs, idf, threshold, size), "crossed"))
-    return found
+    placed = settle(members.join(top, ["band", "key"]).filter("id <> p").select("band", "key", "id", "n", "p", "score"), "placed")
+
+    met = placed.groupBy("id", "p").agg(F.max(F.col("n") > ALL_PAIRS).alias("large"))
+    tested = settle(judged(met, docs, idf, threshold, size), "tested")
+    found = tested.filter("linked").select(*_ends("id", "p"))
+    few = placed.filter(F.col("n") <= ALL_PAIRS).select("band", "key", "id", "p")
+    asking = few.join(tested.filter("NOT linked").select("id", "p"), ["id", "p"]).select("band", "key", "id")
+    pairs = asking.join(few.select("band", "key", F.col("id").alias("other")), ["band", "key"]).filter("id <> other").select(*_ends("id", "other"))
+
+    # Large buckets, those of a pivot together.
+    large = tested.filter("large")
+    index = large.select("p", "id", F.explode("keys").alias("key"))
+    crowded = settle(index.groupBy("p", "key").agg(F.count("*").alias("n")).filter(F.col("n") > CROWD).select("p", "key"), "crowded")
+    asks = settle(large.filter("NOT linked").select("p", "id", F.explode(F.slice("keys", F.lit(1), F.col("ask"))).alias("key")), "asks")
+    rare = asks.hint("merge").join(crowded, ["p", "key"], "left_anti")
+    pairs = pairs.unionByName(rare.join(index.withColumnRenamed("id", "other"), ["p", "key"]).filter("id <> other").select(*_ends("id", "other")))
+    pairs = settle(pairs.distinct(), "pairs")
+    found = found.unionByName(settle(verified(pairs, docs, idf, threshold, size), "verified").filter("linked").select("a", "b"))
+
+    # Texts that ask through a large group, or have lighter texts to ask: first those near the pivot, then all of the group.
+    least = large.groupBy("p").agg(F.max("lighter").alias("most"), F.min(F.when(~F.col("linked"), F.col("reach"))).alias("near"))
+    down = settle(large.join(least, "p").filter("(NOT linked AND reach < most) OR lighter > near").select("p", "id", ((~F.col("linked")) & (F.col("reach") < F.col("most"))).alias("asks"), (F.col("lighter") > F.col("near")).alias("asked")), "lighter")
+    through = settle(asks.hint("merge").join(crowded, ["p", "key"], "left_semi"), "through")
+    open_ = through.select("p", "id").union(down.filter("asks").select("p", "id")).distinct()
+    if open_.isEmpty():
+        return found
+    order = Window.partitionBy("p").orderBy(F.desc("score"))
+    near = large.filter("linked").select("p", "id").join(placed.select("id", "p", "score").distinct(), ["id", "p"])
+    near = near.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= HELPERS).select("p", F.col("id").alias("helper"))
+    tried = open_.join(near, "p").select("p", "id", "helper")
+    helped = settle(verified(tried.select(*_ends("id", "helper")).distinct(), docs, idf, threshold, size), "helped").filter("linked").select("a", "b")
+    found = found.unionByName(helped)
+    done = settle(tried.withColumns({"a": F.least("id", "helper"), "b": F.greatest("id", "helper")}).join(helped, ["a", "b"], "left_semi").select("p", "id").distinct(), "done")
+    through = settle(through.join(done, ["p", "id"], "left_anti"), "through")
+    wanted = through.select("p", "key").distinct()
+    group = F.xxhash64("p", "key").alias("p")
+    asking, asked = through.select(group, "id"), index.join(wanted, ["p", "key"], "left_semi").select(group, "id")
+    below = F.xxhash64("p", F.lit("lighter")).alias("p")
+    asking = settle(asking.unionByName(down.filter("asks").join(done, ["p", "id"], "left_anti").select(below, "id")), "asking")
+    if asking.isEmpty():
+        return found
+    asked = asked.unionByName(down.filter("asked").select(below, "id"))
+    return found.unionByName(settle(crossed(asking, asked, docs, idf, threshold, size), "crossed"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -380,34 +425,51 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def _classes(known: DataFrame, threshold: float, size: int) -> DataFrame:
+    """id, class (the smallest id) of rows (id, text) with distinct ids."""
+    idf = weights_of(document_frequencies(known, size), known.count())
+    signed = settle(signatures(known, idf, size), "signatures")
+    first = settle(signed.groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "texts")
+    copies = settle(signed.join(first, ["d1", "d2"]).select("id", "rep", "copies", "keys"), "copies")
+    found = links(copies.filter("id = rep").select("id", "keys", "copies"), known, idf, threshold, size)
+    named = components(found).select(F.col("id").alias("rep"), "class")
+    return copies.select("id", "rep").join(named, "rep", "left").select("id", F.coalesce("class", "rep").alias("class"))
+
+
+def repeated(ids: DataFrame) -> bool:
+    """Whether an id comes more than once."""
+    return not ids.groupBy("id").count().filter("count > 1").isEmpty()
+
+
 def classes(docs: DataFrame, threshold: float = THRESHOLD, size: int = SIZE, text: str = "text", id_column: str = "doc_id") -> DataFrame:
     """doc_id and class_id of every row."""
     own = docs.select(F.col(f"`{id_column}`").cast("long").alias("id"), text_or_empty(text).alias("text"))
     known = own.filter("id IS NOT NULL")
-    idf = weights_of(document_frequencies(known, size), known.count())
-    signed = settle(signatures(known, idf, size), "signatures")
-    first = signed.groupBy("d1", "d2").agg(F.min("id").alias("rep"))
-    copies = settle(signed.join(first, ["d1", "d2"]).select("id", "rep", "keys"), "copies")
-    many = copies.groupBy("rep").agg(F.count("*").alias("copies")).withColumnRenamed("rep", "id")
-    keys = copies.filter("id = rep").dropDuplicates(["id"]).select("id", "keys").join(many, "id")
-    one = known.groupBy("id").agg(F.min("text").alias("text")) if _repeated(copies) else known
-    found = links(keys, one, idf, threshold, size)
-    # Copies of one id with other texts tie those texts together.
-    tied = copies.filter("id <> rep").groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).filter("a <> b").select("a", "b")
-    named = components(found.unionByName(tied)).select(F.col("id").alias("rep"), "class")
-    out = copies.select("id", "rep").join(named, "rep", "left").select(F.col("id").alias("doc_id"), F.coalesce("class", "rep").alias("class_id"))
+    if repeated(known.select("id")):
+        rows = settle(known.withColumn("row", F.monotonically_increasing_id()), "rows")
+        named = settle(_classes(rows.select(F.col("row").alias("id"), "text"), threshold, size).withColumnRenamed("id", "row").join(rows.select("row", F.col("id").alias("doc_id")), "row"), "named")
+        # Texts of one id are tied: its classes become one.
+        tied = named.select("doc_id", "class").distinct()
+        tied = tied.join(tied.groupBy("doc_id").agg(F.min("class").alias("a")), "doc_id").filter("class <> a").select("a", F.col("class").alias("b"))
+        joined = components(tied).select(F.col("id").alias("class"), F.col("class").alias("joined"))
+        named = named.join(joined, "class", "left").select("doc_id", F.coalesce("joined", "class").alias("class"))
+        least = named.groupBy("class").agg(F.min("doc_id").alias("class_id"))
+        out = named.join(least, "class").select("doc_id", "class_id")
+    else:
+        out = _classes(known, threshold, size).select(F.col("id").alias("doc_id"), F.col("class").alias("class_id"))
     return out.unionByName(own.filter("id IS NULL").select(F.col("id").alias("doc_id"), F.lit(None).cast("long").alias("class_id")))
 
 
-def _repeated(copies: DataFrame) -> bool:
-    """Whether an id comes more than once; then a join by id needs one row for each."""
-    return not copies.groupBy("id").count().filter("count > 1").isEmpty()
-
-
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The document with the smallest id of each class, and rows without an id."""
+    """The document with the smallest id of each class, and rows without an id. Of rows with that id the one of the least
+    text stays, of those the one whose other columns hash least."""
     named = classes(docs).filter("doc_id = class_id").select("doc_id").distinct()
-    return docs.join(named, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.filter("doc_id IS NULL"))
+    out = docs.join(named, "doc_id", "left_semi")
+    if repeated(docs.select(F.col("doc_id").alias("id")).filter("id IS NOT NULL")):
+        rest = F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns))
+        order = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_first(), rest)  # the rows of one id
+        out = out.withColumn("__first", F.row_number().over(order)).filter("__first = 1").drop("__first")
+    return out.unionByName(docs.filter("doc_id IS NULL"))
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
