@@ -9,9 +9,14 @@ The field is trained by gradient ascent on its log-likelihood over labelled page
 :func:`labelled_pages` makes from many layouts (``TRAINING_PAGES`` of them, a fixed bound). Training
 runs once in a driver process, and its weights (a few hundred numbers) travel with the tasks.
 
+An article's own title is part of its text, also where it stands in a ``header`` of the ``article``; what else such
+a header holds (bylines, dates) isn't. Words in class names that are common in articles' own names ("top-story",
+"content warning") count only where no other name of the element speaks for an article.
+
 Defined results: a null or empty page has the text ``""``; broken or cut-off markup is read as far as
-it goes; blocks of scripts, styles and the head are no text; very long pages are read whole; repeated
-rows are extracted each; an empty table gives no rows; extra columns are ignored.
+it goes, so an element without an end tag takes nothing away (but a script or style, as in browsers);
+scripts, styles, text areas, templates, embedded frames and the head are no text; formulas are text; very long
+pages are read whole; repeated rows are extracted each; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,13 +39,19 @@ TRAINING_PAGES = 300
 _TAG = re.compile(r"""<!--(?:.*?-->|.*)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<[/!?a-zA-Z][^>]*+>""", re.S)
 _ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _NAME = re.compile(r"[a-z]+")
-#: Elements whose content is no markup, or no text of the page.
-_RAW = frozenset("script style noscript template svg math iframe object textarea select title canvas audio video".split())
-_END = {name: re.compile(f"</{name}", re.I) for name in _RAW}
+#: Elements whose content is no text of the page. Without an end tag, only the first two take the rest of the page.
+_TO_THE_END = ("script", "style")
+_RAW = frozenset([*_TO_THE_END, *"textarea title template iframe annotation annotation-xml".split()])
+_END = {name: re.compile(f"</{name}", re.I) for name in [*_RAW, "noscript"]}
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var".split())
+#: Formulas, drawings and players: read like inline elements, whatever is missing of them.
+_INLINE |= frozenset("math mi mn mo ms mtext mrow msup msub msubsup mfrac msqrt mroot mstyle mover munder munderover mpadded mphantom menclose mmultiscripts mspace semantics".split())
+_INLINE |= frozenset("svg g path circle ellipse rect line polyline polygon text tspan defs use desc picture object video audio canvas map".split())
 _CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
-_TAGS = frozenset("article main nav header footer aside form section table ul ol li dl blockquote pre figure figcaption h1 h2 h3 h4 h5 h6 p div td button fieldset details address menu dialog body".split())
+#: What ends a selection list that has no end tag.
+_NOT_IN_SELECT = _CLOSES_P | frozenset("button td li body".split())
+_TAGS = frozenset("article main nav header footer aside form section table ul ol li dl blockquote pre figure figcaption h1 h2 h3 h4 h5 h6 p div td button fieldset details address menu dialog body select option noscript title_block".split())
 #: Words in class, id and role names, by what they tell.
 _NAMES = {
     "good": "article content main post entry story text body page prose markdown blog news editorial copy".split(),
@@ -56,14 +67,25 @@ _NAMES = {
 _KIND = {word: kind for kind, words in _NAMES.items() for word in words}
 
 
+#: Words that say little: they count as the last known word of a class, and not beside a name that speaks for an article.
+_WEAK = frozenset("top bottom warning disclaimer notice notices alert privacy more popular trending archive tags search input contact follow like thread reader readers view skip links legal foot".split())
+
+
 @functools.lru_cache(maxsize=4096)
 def _hints(attributes: str) -> tuple[str, ...]:
     """Kinds of the names in an element's class, id and role."""
-    found = set()
+    found, weak = set(), set()
     for _, value in _ATTRIBUTE.findall(attributes):
-        words = _NAME.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower())
-        found.update(_KIND[w] for w in words if w in _KIND)
-    return tuple(sorted(found))
+        for name in value.strip("\"'").split():
+            words = [w for w in _NAME.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower()) if w in _KIND]
+            for k, w in enumerate(words):
+                if w not in _WEAK:
+                    found.add(_KIND[w])
+                elif k == len(words) - 1:
+                    weak.add(_KIND[w])
+            if words and words[-1] in _WEAK and len(words) > 1 and found == {"good"}:
+                found.discard("good")  # "content-warning" is a warning
+    return tuple(sorted(found if "good" in found else found | weak))
 
 
 def leaf_blocks(html: str) -> list[tuple[str, tuple, int]]:
@@ -71,6 +93,7 @@ def leaf_blocks(html: str) -> list[tuple[str, tuple, int]]:
     out: list[tuple[str, tuple, int]] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
     parts: list[str] = []
+    endless: set[str] = set()
     links, link_depth, at, n = 0, 0, 0, len(html)
 
     def text(raw: str) -> None:
@@ -96,6 +119,13 @@ def leaf_blocks(html: str) -> list[tuple[str, tuple, int]]:
         while stack and stack.pop()[0] != tag:
             pass
 
+    def ending(name: str) -> int:
+        """Where the next end tag of that name begins; 0 for none."""
+        found = None if name in endless else _END[name].search(html, at)
+        if found is None:
+            endless.add(name)
+        return found.start() if found else 0
+
     while at < n:
         m = _TAG.search(html, at)
         if m is None:
@@ -108,8 +138,12 @@ def leaf_blocks(html: str) -> list[tuple[str, tuple, int]]:
         name = name.lower()
         if name in _RAW:
             if not m[1] and not m[3].endswith("/"):
-                end = _END[name].search(html, at)
-                at = end.start() if end else n
+                if end := ending(name):
+                    at = end
+                elif name in _TO_THE_END:
+                    at = n
+            continue
+        if name == "noscript" and not m[1] and not ending(name):
             continue
         if name == "br" or name == "wbr" or name == "hr":
             parts.append(" " if name != "wbr" else "")
@@ -122,19 +156,27 @@ def leaf_blocks(html: str) -> list[tuple[str, tuple, int]]:
         elif m[1]:
             flush()
             link_depth = 0
-            if inside(name):
+            if name == "header" and inside("title_block"):
+                close("title_block")
+            elif inside(name):
                 close(name)
         else:
             flush()
             link_depth = 0
             if name in _CLOSES_P and stack and stack[-1][0] == "p":
                 stack.pop()
-            elif name in ("li", "td", "th", "tr", "dt", "dd", "option") and stack and stack[-1][0] == name:
+            elif name in _NOT_IN_SELECT and inside("select"):
+                close("select")
+            elif name == "option" and stack and stack[-1][0] == "option":
+                stack.pop()
+            elif name in ("li", "td", "th", "tr", "dt", "dd") and stack and stack[-1][0] == name:
                 stack.pop()
             if name == "body":
                 while stack and stack[-1][0] in ("head", "p"):
                     stack.pop()
             if not m[3].endswith("/"):
+                if name == "header" and inside("article"):
+                    name = "title_block"
                 stack.append((name, _hints(m[3]) if m[3] else ()))
     flush()
     return [b for b in out if not any(t == "head" for t, _ in b[1])]
@@ -164,13 +206,17 @@ def features(block: tuple[str, tuple, int], first: bool, last: bool) -> list[str
         kinds.update(hints)
         if not nearest:
             bad = [k for k in hints if k != "good"]
-            if bad or tag in ("nav", "header", "footer", "aside", "form", "button", "dialog", "menu", "fieldset"):
+            if tag == "title_block":
+                nearest = "title"
+            elif bad or tag in ("nav", "header", "footer", "aside", "form", "button", "dialog", "menu", "fieldset", "select", "option", "noscript"):
                 nearest = "other"
             elif "good" in hints or tag in ("article", "main"):
                 nearest = "main"
     out += ["t_" + t for t in tags]
     out += ["k_" + k for k in kinds]
     out.append("near_" + (nearest or "none"))
+    if nearest == "title":
+        out.append("title_" + ("heading" if above[-1][0] in ("h1", "h2") else "rest"))
     if "good" not in kinds and not tags & {"article", "main"}:
         out.append("plain")
         out.append(f"plain_len{min(n, 400).bit_length()}")
@@ -298,6 +344,11 @@ def labelled_pages(n: int, seed: int = 5) -> list[tuple[str, list[tuple[str, int
             def form() -> None:
                 leaf(pick(["p", "div", "h3"]), words(1, 6), 0)
                 html.append('<input name="q"><textarea>none</textarea>')
+                if chance(0.3):
+                    html.append("<select>")
+                    for _ in range(rnd.randint(1, 3)):
+                        leaf("option", words(1, 3), 0)
+                    html.append("</select>")
                 leaf("button", words(1, 2), 0)
 
             def short() -> None:
@@ -317,6 +368,10 @@ def labelled_pages(n: int, seed: int = 5) -> list[tuple[str, list[tuple[str, int
                 box(*pick([("aside", ["sidebar"]), ("div", ["sidebar", "related", "widget", "popular", "recommended"]), ("section", ["related-posts", "trending"])]), short)
             elif kind == "notice":
                 box(pick(["div", "section", "dialog"]), ["cookie-notice", "consent", "alert", "cookie-banner", "gdpr", "notice", "modal", "paywall"], short)
+            elif kind == "script":
+                html.append("<noscript>")
+                leaf(pick(["p", "div"]), words(3, 14), 0)
+                html.append("</noscript>")
             elif kind == "social":
                 box("div", ["share", "social-links", "follow-us"], short)
             elif kind == "footer":
@@ -326,7 +381,13 @@ def labelled_pages(n: int, seed: int = 5) -> list[tuple[str, list[tuple[str, int
 
         def article() -> None:
             def body() -> None:
-                if chance(0.85):
+                if titled and chance(0.4):
+                    html.append(pick(["<header>", '<header class="entry-header">', '<header class="top">']))
+                    leaf(pick(["h1", "h1", "h2"]), words(1, 9), 1)
+                    for _ in range(rnd.randint(0, 2)):
+                        leaf(pick(["p", "div"]), words(1, 8), 0, link=chance(0.2))
+                    html.append("</header>")
+                elif chance(0.85):
                     leaf(pick(["h1", "h1", "h2"]), words(1, 9), 1)
                 for _ in range(rnd.randint(1, 12)):
                     r = rnd.random()
@@ -346,17 +407,22 @@ def labelled_pages(n: int, seed: int = 5) -> list[tuple[str, list[tuple[str, int
                         html.append("</tr></table>")
                     else:
                         other(pick(["ad", "ad", "side", "notice", "form", "social"]))
+                if titled and chance(0.15):
+                    html.append("<footer>")
+                    leaf("p", words(1, 8), 0)
+                    html.append("</footer>")
                 if chance(0.12):
                     other("talk")
 
-            tag, names = pick([("article", ["post", "story"]), ("article", [""]), ("article", ["entry-content"]), ("main", ["content"]), ("div", ["content", "article-body", "post-text", "entry", "main"]), ("section", ["story", "content"]), ("div", ["c1", "x", "wrap", "column"]), ("section", ["s", "block"])])
+            tag, names = pick([("article", ["post", "story"]), ("article", [""]), ("article", ["entry-content", "reader-view", "top-story content", "content warning"]), ("main", ["content", "top-story content"]), ("div", ["content", "article-body", "post-text", "entry", "main"]), ("section", ["story", "content"]), ("div", ["c1", "x", "wrap", "column"]), ("section", ["s", "block"])])
+            titled = tag == "article"
             if chance(0.25):
                 box(pick(["div", "main"]), ["wrap", "page", "container", "main-content"], lambda: box(tag, names, body))
             else:
                 box(tag, names, body)
 
         html.append(f'<!DOCTYPE html><html><head><title>{words(1, 5)}</title><style>p{{margin:0}}</style><script>var t="</p>";</script></head><body>')
-        before = [k for k in ("header", "menu", "ad", "notice", "form", "side", "menu") if chance(0.35)]
+        before = [k for k in ("header", "menu", "ad", "notice", "form", "side", "menu", "script") if chance(0.35 if k != "script" else 0.1)]
         rnd.shuffle(before)
         after = [k for k in ("talk", "side", "ad", "form", "notice", "social", "menu", "side") if chance(0.25)]
         rnd.shuffle(after)
