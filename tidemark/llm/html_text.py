@@ -24,8 +24,10 @@ from __future__ import annotations
 import functools
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +51,8 @@ _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 _INLINE |= frozenset("math mi mn mo ms mtext mrow msup msub msubsup mfrac msqrt mroot mstyle mover munder munderover mpadded mphantom menclose mmultiscripts mspace semantics".split())
 _INLINE |= frozenset("svg g path circle ellipse rect line polyline polygon text tspan defs use desc picture object video audio canvas map".split())
 _CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
+#: Elements that are no part of an article, whatever their names.
+_OTHER = frozenset("nav header footer aside form button dialog menu fieldset select option noscript".split())
 #: What ends a selection list that has no end tag.
 _NOT_IN_SELECT = _CLOSES_P | frozenset("button td li body".split())
 _TAGS = frozenset("article main nav header footer aside form section table ul ol li dl blockquote pre figure figcaption h1 h2 h3 h4 h5 h6 p div td button fieldset details address menu dialog body select option noscript title_block".split())
@@ -88,10 +92,33 @@ def _hints(attributes: str) -> tuple[str, ...]:
     return tuple(sorted(found if "good" in found else found | weak))
 
 
-def leaf_blocks(html: str) -> list[tuple[str, tuple, int]]:
-    """(text, ancestors from the root, characters within links) of each leaf block. An ancestor: (tag, kinds of its names)."""
-    out: list[tuple[str, tuple, int]] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+class Above(NamedTuple):
+    """What counts of a block's ancestors: the nearest tag, all tags, kinds of all names, what the nearest telling one says."""
+
+    tag: str = ""
+    tags: frozenset[str] = frozenset()
+    kinds: frozenset[str] = frozenset()
+    nearest: str = ""
+    head: bool = False
+
+    def and_(self, tag: str, hints: tuple[str, ...]) -> Above:
+        nearest = self.nearest
+        if tag == "title_block":
+            nearest = "title"
+        elif any(k != "good" for k in hints) or tag in _OTHER:
+            nearest = "other"
+        elif "good" in hints or tag in ("article", "main"):
+            nearest = "main"
+        tags = self.tags | {tag} if tag in _TAGS and tag not in self.tags else self.tags
+        kinds = self.kinds if self.kinds.issuperset(hints) else self.kinds.union(hints)
+        return Above(tag, tags, kinds, nearest, self.head or tag == "head")
+
+
+def leaf_blocks(html: str) -> list[tuple[str, Above, int]]:
+    """(text, ancestors, characters within links) of each leaf block; linear in the page."""
+    out: list[tuple[str, Above, int]] = []
+    stack: list[Above] = []
+    depth: Counter[str] = Counter()
     parts: list[str] = []
     endless: set[str] = set()
     links, link_depth, at, n = 0, 0, 0, len(html)
@@ -108,15 +135,20 @@ def leaf_blocks(html: str) -> list[tuple[str, tuple, int]]:
         nonlocal links
         if parts:
             if whole := " ".join("".join(parts).split()):
-                out.append((whole, tuple(stack), links))
+                out.append((whole, stack[-1] if stack else Above(), links))
             parts.clear()
         links = 0
 
     def inside(tag: str) -> bool:
-        return any(t == tag for t, _ in stack)
+        return depth[tag] > 0
+
+    def pop() -> str:
+        tag = stack.pop().tag
+        depth[tag] -= 1
+        return tag
 
     def close(tag: str) -> None:
-        while stack and stack.pop()[0] != tag:
+        while stack and pop() != tag:
             pass
 
     def ending(name: str) -> int:
@@ -163,26 +195,27 @@ def leaf_blocks(html: str) -> list[tuple[str, tuple, int]]:
         else:
             flush()
             link_depth = 0
-            if name in _CLOSES_P and stack and stack[-1][0] == "p":
-                stack.pop()
+            if name in _CLOSES_P and stack and stack[-1].tag == "p":
+                pop()
             elif name in _NOT_IN_SELECT and inside("select"):
                 close("select")
-            elif name == "option" and stack and stack[-1][0] == "option":
-                stack.pop()
-            elif name in ("li", "td", "th", "tr", "dt", "dd") and stack and stack[-1][0] == name:
-                stack.pop()
+            elif name == "option" and stack and stack[-1].tag == "option":
+                pop()
+            elif name in ("li", "td", "th", "tr", "dt", "dd") and stack and stack[-1].tag == name:
+                pop()
             if name == "body":
-                while stack and stack[-1][0] in ("head", "p"):
-                    stack.pop()
+                while stack and stack[-1].tag in ("head", "p"):
+                    pop()
             if not m[3].endswith("/"):
                 if name == "header" and inside("article"):
                     name = "title_block"
-                stack.append((name, _hints(m[3]) if m[3] else ()))
+                stack.append((stack[-1] if stack else Above()).and_(name, _hints(m[3]) if m[3] else ()))
+                depth[name] += 1
     flush()
-    return [b for b in out if not any(t == "head" for t, _ in b[1])]
+    return [b for b in out if not b[1].head]
 
 
-def features(block: tuple[str, tuple, int], first: bool, last: bool) -> list[str]:
+def features(block: tuple[str, Above, int], first: bool, last: bool) -> list[str]:
     text, above, links = block
     n = len(text)
     out = ["bias", f"len{min(n, 400).bit_length()}"]
@@ -197,27 +230,14 @@ def features(block: tuple[str, tuple, int], first: bool, last: bool) -> list[str
         out.append("first")
     if last:
         out.append("last")
-    if above:
-        out.append("in_" + (above[-1][0] if above[-1][0] in _TAGS else "other"))
-    tags, kinds, nearest = set(), set(), ""
-    for tag, hints in reversed(above):
-        if tag in _TAGS:
-            tags.add(tag)
-        kinds.update(hints)
-        if not nearest:
-            bad = [k for k in hints if k != "good"]
-            if tag == "title_block":
-                nearest = "title"
-            elif bad or tag in ("nav", "header", "footer", "aside", "form", "button", "dialog", "menu", "fieldset", "select", "option", "noscript"):
-                nearest = "other"
-            elif "good" in hints or tag in ("article", "main"):
-                nearest = "main"
-    out += ["t_" + t for t in tags]
-    out += ["k_" + k for k in kinds]
-    out.append("near_" + (nearest or "none"))
-    if nearest == "title":
-        out.append("title_" + ("heading" if above[-1][0] in ("h1", "h2") else "rest"))
-    if "good" not in kinds and not tags & {"article", "main"}:
+    if above.tag:
+        out.append("in_" + (above.tag if above.tag in _TAGS else "other"))
+    out += ["t_" + t for t in above.tags]
+    out += ["k_" + k for k in above.kinds]
+    out.append("near_" + (above.nearest or "none"))
+    if above.nearest == "title":
+        out.append("title_" + ("heading" if above.tag in ("h1", "h2") else "rest"))
+    if "good" not in above.kinds and not above.tags & {"article", "main"}:
         out.append("plain")
         out.append(f"plain_len{min(n, 400).bit_length()}")
     return out
