@@ -376,9 +376,11 @@ def links(keys: DataFrame, docs: DataFrame, idf: np.ndarray, threshold: float =
 
     # Large buckets, those of a pivot together.
     large = tested.filter("large")
-    index = large.select("p", "id", F.explode("keys").alias("key"))
-    crowded = settle(index.groupBy("p", "key").agg(F.count("*").alias("n")).filter(F.col("n") > CROWD).select("p", "key"), "crowded")
     asks = settle(large.filter("NOT linked").select("p", "id", F.explode(F.slice("keys", F.lit(1), F.col("ask"))).alias("key")), "asks")
+    wanted = asks.select("p", "key").distinct()
+    every = large.join(asks.select("p").distinct(), "p", "left_semi").select("p", "id", F.explode("keys").alias("key"))
+    index = settle(every.hint("merge").join(wanted, ["p", "key"], "left_semi"), "index")
+    crowded = settle(index.groupBy("p", "key").agg(F.count("*").alias("n")).filter(F.col("n") > CROWD).select("p", "key"), "crowded")
     rare = asks.hint("merge").join(crowded, ["p", "key"], "left_anti")
     pairs = pairs.unionByName(rare.join(index.withColumnRenamed("id", "other"), ["p", "key"]).filter("id <> other").select(*_ends("id", "other")))
     pairs = settle(pairs.distinct(), "pairs")
