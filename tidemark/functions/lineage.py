@@ -7,17 +7,38 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.functions.shipping import ship
+
+
+#: Temporary folders by application.
+_made: dict[str, str] = {}
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """What ``spark.checkpoint.dir`` names; a temporary folder only where it is unset (tests, local mode)."""
+    """What ``spark.checkpoint.dir`` names. Where it is unset, a temporary folder in local mode, where driver and executors
+    are one process; an error on a cluster, whose executors would each write to a disk of their own."""
     if not (found := spark.conf.get("spark.checkpoint.dir", None)):
-        found = tempfile.mkdtemp(prefix="tidemark-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = _made.setdefault(spark.sparkContext.applicationId, "") or tempfile.mkdtemp(prefix="tidemark-")
+        _made[spark.sparkContext.applicationId] = found
     return found
 
 
 def settle(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared folder and read it back."""
-    path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    """Write ``df`` as a Parquet table in the shared folder and read it back. The package goes to the workers first.
+
+    A result may read these tables for as long as it is used, so nothing here deletes them: :func:`cleared` does, for a caller who is
+    done with a session's results; on a cluster the folder's own retention rule is the other way.
+    """
+    ship(df.sparkSession)
+    path = f"{shared_dir(df.sparkSession)}/settled-{df.sparkSession.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def cleared(spark: SparkSession) -> bool:
+    """Deletes all tables that this application has settled; whether there were any. Results that read them are void."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/settled-{spark.sparkContext.applicationId}")
+    return bool(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True))

@@ -21,31 +21,30 @@ def vertices(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
 
 
-def pagerank(edges: DataFrame, alpha: float = 0.85, iterations: int = 100, tolerance: float = 1e-6, cut_every: int = 5) -> DataFrame:
+def pagerank(edges: DataFrame, alpha: float = 0.85, iterations: int = 100, tolerance: float = 1e-6) -> DataFrame:
     """node, pagerank. Weights are normalised by source; the rank of nodes without edges out is spread over all.
 
-    Stops when the summed change is below nodes * tolerance. Edges are written once by source; the ranks
-    are written every few rounds, so plans stay short and a lost executor costs one round at most.
+    Stops when the summed change is below nodes * tolerance. Edges stay dealt out by source, so a round moves ranks and
+    contributions only. Every round's ranks are written with the rank to spread and the change, which reach the driver as two
+    numbers: the plan of a round never holds the one before, and a lost executor costs one round at most.
     """
     total = edges.groupBy("src").agg(F.sum("weight").alias("w"))
     shares = settle(edges.join(total, "src").select("src", "dst", (F.col("weight") / F.col("w")).alias("share")), "shares")
     nodes = settle(vertices(edges).join(total.select(F.col("src").alias("node"), F.lit(False).alias("dangling")), "node", "left").select("node", F.coalesce("dangling", F.lit(True)).alias("dangling")), "nodes")
-    n = nodes.count()
+    n, loose = nodes.agg(F.count("*"), F.coalesce(F.sum(F.col("dangling").cast("long")), F.lit(0))).first()
     if not n:
         return nodes.select("node", F.lit(0.0).alias("pagerank"))
-    ranks = nodes.select("node", "dangling", F.lit(1.0 / n).alias("pagerank"))
-    for k in range(1, iterations + 1):
-        lost = ranks.filter("dangling").agg(F.coalesce(F.sum("pagerank"), F.lit(0.0)).alias("lost"))
+    shares = shares.repartition("src").persist()  # rebuilt from its table, if an executor is lost
+    ranks, lost = nodes.select("node", "dangling", F.lit(1.0 / n).alias("pagerank")), loose / n
+    for _ in range(iterations):
         given = shares.join(ranks.select(F.col("node").alias("src"), "pagerank"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("pagerank") * F.col("share")).alias("got"))
-        step = ranks.join(given, "node", "left").crossJoin(F.broadcast(lost))  # one row
-        step = step.select("node", "dangling", (F.lit((1 - alpha) / n) + alpha * (F.coalesce("got", F.lit(0.0)) + F.col("lost") / n)).alias("pagerank"), F.col("pagerank").alias("before"))
-        if k % cut_every and k < iterations:
-            ranks = step.drop("before")
-            continue
-        step = settle(step, "ranks")
+        new = F.lit((1 - alpha) / n + alpha * lost / n) + alpha * F.coalesce("got", F.lit(0.0))
+        step = settle(ranks.join(given, "node", "left").select("node", "dangling", new.alias("pagerank"), F.col("pagerank").alias("before")), "ranks")
+        lost, change = step.agg(F.coalesce(F.sum(F.when(F.col("dangling"), F.col("pagerank"))), F.lit(0.0)), F.sum(F.abs(F.col("pagerank") - F.col("before")))).first()
         ranks = step.drop("before")
-        if step.agg(F.sum(F.abs(F.col("pagerank") - F.col("before")))).first()[0] < n * tolerance and tolerance:
+        if tolerance and change < n * tolerance:
             break
+    shares.unpersist()
     return ranks.select("node", "pagerank")
 
 
@@ -71,3 +70,35 @@ def between(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges with both ends among ``nodes``: two semi-joins."""
     n = nodes.select("node")
     return edges.join(n, edges.src == n.node, "left_semi").join(n, edges.dst == n.node, "left_semi")
+
+
+def placed_edges(edges: DataFrame, positions: DataFrame) -> DataFrame:
+    """Edges with the positions (node, x, y) of both ends: two joins."""
+    one = positions.select(F.col("node").alias("src"), F.col("x").alias("x0"), F.col("y").alias("y0"))
+    other = positions.select(F.col("node").alias("dst"), F.col("x").alias("x1"), F.col("y").alias("y1"))
+    return edges.join(one, "src").join(other, "dst").select("src", "dst", "x0", "y0", "x1", "y1")
+
+
+def threat_edges(indicators: DataFrame, flows: DataFrame, order: str = "ioc_id", flow_order: str = "row_id") -> DataFrame:
+    """src, dst, relation, weight of an infrastructure graph over all rows: listed address and domain to family, domain to address,
+    attacker to target. An edge that comes again has the relation of its last row. Fixed values: prefixes, relations, weights."""
+    i = indicators.select(order, F.trim(F.coalesce("ioc_value", F.lit(""))).alias("ioc"), F.trim(F.coalesce("malware_family", F.lit("Unknown"))).alias("fam"), F.trim(F.coalesce("ip_address", F.lit(""))).alias("ip")).filter("fam <> ''")
+    parts = F.split("ioc", "/")
+    i = i.withColumn("domain", F.when(F.col("ioc").contains("http") | F.col("ioc").contains("/"), F.when(F.size(parts) > 2, parts[2]).otherwise(F.substring("ioc", 1, 30))))
+    named = lambda prefix, c: F.concat(F.lit(prefix), F.col(c))
+    edge = lambda src, dst, relation, weight, at: (src.alias("src"), dst.alias("dst"), F.lit(relation).alias("relation"), F.lit(weight).alias("weight"), F.col(at).cast("long").alias("at"))
+    known = i.filter("ip <> ''").select(*edge(named("IP: ", "ip"), named("Family: ", "fam"), "belongs_to_family", 1.5, order))
+    carries = i.filter("domain IS NOT NULL").select(*edge(named("Domain: ", "domain"), named("Family: ", "fam"), "delivers_malware", 2.0, order))
+    points = i.filter("domain IS NOT NULL AND ip <> ''").select(*edge(named("Domain: ", "domain"), named("IP: ", "ip"), "resolves_to", 1.2, order))
+    target = F.concat(F.lit("Target: "), F.col("Dst_IP"), F.lit(":"), F.col("Dst_Port"))
+    hits = flows.filter("is_attack = 1 AND Src_IP IS NOT NULL").select(named("IP: ", "Src_IP").alias("src"), target.alias("dst"), F.concat(F.lit("attacks_via_"), F.coalesce("Label", F.lit("Attack"))).alias("relation"), F.lit(1.0).alias("weight"), F.col(flow_order).cast("long").alias("at"))
+    every = known.unionByName(carries).unionByName(points).unionByName(hits)
+    return every.groupBy("src", "dst").agg(F.max_by(F.struct("relation", "weight"), "at").alias("x")).select("src", "dst", "x.relation", "x.weight")
+
+
+def threat_kinds(edges: DataFrame) -> DataFrame:
+    """node, type: an address that attacks is an attacker, listed or not."""
+    attacks = F.col("relation").startswith("attacks_via_")
+    ends = edges.select(F.col("src").alias("node"), attacks.alias("attacker")).union(edges.select("dst", F.lit(False)))
+    kind = F.when(F.col("node").startswith("Family: "), "malware_family").when(F.col("node").startswith("Domain: "), "c2_domain").when(F.col("node").startswith("Target: "), "victim_asset").when(F.col("attacker"), "attacker_ip").otherwise("c2_ip")
+    return ends.groupBy("node").agg(F.max("attacker").alias("attacker")).select("node", kind.alias("type"))

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.lineage import settle
+
 
 def tags(port: Column, hour: Column, packets: Column, syn: Column, length: Column, label: Column) -> Column:
-    """Tags of a flow: port class, time of day, volume, SYN, payload, target. Missing values: 0, hour 12, BENIGN."""
+    """Tags and bounds. Tags of a flow: port class, time of day, volume, SYN, payload, target. Missing values: 0, hour 12, BENIGN."""
     port, hour = F.coalesce(port, F.lit(0)), F.coalesce(hour, F.lit(12))
     packets, syn, length, label = F.coalesce(packets, F.lit(0)), F.coalesce(syn, F.lit(0)), F.coalesce(length, F.lit(0)), F.coalesce(label, F.lit("BENIGN"))
     service = (
@@ -28,24 +30,26 @@ def tags(port: Column, hour: Column, packets: Column, syn: Column, length: Colum
 def itemsets(transactions: DataFrame, column: str, min_support: float) -> DataFrame:
     """items (sorted array of 1 to 3), cnt and support of those with at least ``min_support``.
 
-    Combinations are made inside each row and counted with partial aggregates; no join. Candidates of
-    two and three items are made from frequent single items only.
+    The transactions are read once: equal ones are counted, and the counts are written. Combinations are made inside each
+    distinct transaction, from frequent single items only, and counted with partial aggregates; no join.
     """
     rows = transactions.select(F.sort_array(F.array_distinct(F.filter(column, lambda x: x.isNotNull()))).alias("t"))
-    n = rows.count()
+    rows = settle(rows.groupBy("t").agg(F.count("*").alias("n")), "transactions")
+    n = rows.agg(F.sum("n")).first()[0] or 0
     least = F.lit(float(n) * min_support - 1e-9)
-    single = rows.select(F.explode("t").alias("i")).groupBy("i").agg(F.count("*").alias("c")).filter(F.col("c") >= least)
+    single = rows.select(F.explode("t").alias("i"), "n").groupBy("i").agg(F.sum("n").alias("c")).filter(F.col("c") >= least)
     frequent = [r.i for r in single.select("i").collect()]  # 1 / min_support * items of a row, at most
     kept = rows.withColumn("t", F.array_intersect("t", F.array(*(F.lit(i) for i in sorted(frequent))).cast("array<string>")))
     two = "transform(filter(t, (y, j) -> j > i), y -> array(x, y))"
     three = "flatten(transform(filter(t, (y, j) -> j > i), y -> transform(filter(t, z -> z > y), z -> array(x, y, z))))"
     sets = F.expr(f"concat(transform(t, x -> array(x)), flatten(transform(t, (x, i) -> {two})), flatten(transform(t, (x, i) -> {three})))")
-    out = kept.select(F.explode(sets).alias("items")).groupBy("items").agg(F.count("*").alias("cnt")).filter(F.col("cnt") >= least)
+    out = kept.select(F.explode(sets).alias("items"), "n").groupBy("items").agg(F.sum("n").alias("cnt")).filter(F.col("cnt") >= least)
     return out.withColumn("support", F.col("cnt") / F.lit(float(max(n, 1))))
 
 
 def rules(sets: DataFrame, min_confidence: float, target: str = "TARGET_") -> DataFrame:
     """Rules with one or two items in front and one target behind: support and confidence to 4 places, lift to 2."""
+    sets = settle(sets, "sets")  # read three times
     whole = sets.filter(F.size("items") > 1).select("items", F.col("support").alias("s"), F.explode(F.filter("items", lambda i: i.startswith(target))).alias("consequent"))
     whole = whole.withColumn("antecedent", F.array_except("items", F.array("consequent"))).filter(~F.exists("antecedent", lambda i: i.startswith(target)))
     front = sets.select(F.col("items").alias("antecedent"), F.col("support").alias("sf"))

@@ -53,31 +53,64 @@ def pca(df: DataFrame, features: Sequence[str], keep: Sequence[str], n: int = 2)
     return z.select("__keep.*", *columns), share
 
 
-def kmeans_search(df: DataFrame, features: Sequence[str], k_range: tuple[int, int] = (3, 7), restarts: int = 2, seed: int = 42) -> tuple[DataFrame, int, float]:
-    """``df`` with ``cluster``, the chosen k and its silhouette (squared Euclidean, over all rows).
-
-    For each k the cheapest of some restarts; the first k with the strictly best silhouette wins.
+def taken(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
+    """``n`` rows (or all, if fewer) of least hash of the key."""
+    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+
+
+def silhouette(x: np.ndarray, labels: np.ndarray) -> float:
+    """Mean silhouette by Euclidean distance; 0 for one cluster, and for points alone in theirs."""
+    names, own = np.unique(labels, return_inverse=True)
+    if len(names) < 2 or len(names) >= len(x):
+        return 0.0
+    sizes, total = np.bincount(own), 0.0
+    for at in range(0, len(x), 256):
+        part = x[at : at + 256]
+        away = np.sqrt(np.maximum(((part[:, None, :] - x[None, :, :]) ** 2).sum(axis=2), 0))
+        sums = np.stack([away[:, own == k].sum(axis=1) for k in range(len(names))], axis=1)
+        mine = own[at : at + 256]
+        rows = np.arange(len(part))
+        a = sums[rows, mine] / np.maximum(sizes[mine] - 1, 1)
+        means = sums / sizes
+        means[rows, mine] = np.inf
+        b = means.min(axis=1)
+        total += float(np.where(sizes[mine] > 1, (b - a) / np.maximum(np.maximum(a, b), 1e-300), 0.0).sum())
+    return total / len(x)
+
+
+def silhouette_of(df: DataFrame, features: Sequence[str], label: str, key: str, sample: int = 3000) -> float:
+    """Euclidean silhouette over at most ``sample`` rows, whatever the table's size."""
+    rows = taken(df, key, sample).select(*features, label).toPandas()
+    return silhouette(rows[list(features)].to_numpy(dtype=float), rows[label].to_numpy())
+
+
+def kmeans_search(df: DataFrame, features: Sequence[str], k_range: tuple[int, int] = (3, 7), restarts: int = 2, seed: int = 42, key: str = "row_id", sample: int = 10_000, scored: int = 3000) -> tuple[DataFrame, int, dict[int, float]]:
+    """``df`` with ``cluster``, the chosen k and the silhouette of each k.
+
+    Centres are fitted on at most ``sample`` rows of least hash of ``key`` (the method's own sample), for each k the cheapest of some restarts.
+    The first k with the strictly best Euclidean silhouette over at most ``scored`` of them wins; every row gets its
+    cluster from its centres. Scaling is over all rows.
     """
     from pyspark.ml.clustering import KMeans
-    from pyspark.ml.evaluation import ClusteringEvaluator
     from pyspark.ml.feature import VectorAssembler
 
     own = df.withColumn("__row", F.struct("*"))
-    made = VectorAssembler(inputCols=list(features), outputCol="features").transform(zscored(own, features)).select("__row", "features")
-    made = made.persist()  # read by every fit
-    best = None
+    made = VectorAssembler(inputCols=list(features), outputCol="features").transform(zscored(own, features))
+    some = settle(taken(made, key, sample).select(key, "features", *features), "sample").coalesce(1).persist()  # ``sample`` rows, in one part: each fit is some small jobs
+    scores, best = {}, None
     for k in range(k_range[0], k_range[1] + 1):
-        fits = [KMeans(k=k, seed=seed + r, featuresCol="features", predictionCol="cluster").fit(made) for r in range(restarts)]
+        fits = [KMeans(k=k, seed=seed + r, featuresCol="features", predictionCol="cluster").fit(some) for r in range(restarts)]
         model = min(fits, key=lambda m: m.summary.trainingCost)
-        score = ClusteringEvaluator(featuresCol="features", predictionCol="cluster").evaluate(model.transform(made)) if made.count() > k else 0.0
-        if best is None or score > best[0]:
-            best = (score, k, model)
-    out = best[2].transform(made).select("__row.*", F.col("cluster"))
-    return out, best[1], best[0]
+        scores[k] = round(silhouette_of(model.transform(some), features, "cluster", key, scored), 6)
+        if best is None or scores[k] > scores[best[0]]:
+            best = (k, model)
+    some.unpersist()
+    out = best[1].transform(made).select("__row.*", F.col("cluster"))
+    return out, best[0], scores
 
 
 def cluster_profiles(df: DataFrame, label: str = "Label") -> DataFrame:
-    """Size, share, dominant label, purity, means and risk of each cluster."""
+    """Column names, order and bounds of the risk rules. Size, share, dominant label, purity, means and risk of each cluster."""
     size = df.groupBy("cluster").agg(
         F.count("*").alias("size"), F.avg("Flow_Duration").alias("d"), (F.avg("Total_Fwd_Packets") + F.avg("Total_Backward_Packets")).alias("p"), F.avg("Packet_Length_Mean").alias("l"), (100 * F.avg((F.col("SYN_Flag_Count") > 0).cast("double"))).alias("syn")
     )
@@ -107,27 +140,66 @@ def cluster_profiles(df: DataFrame, label: str = "Label") -> DataFrame:
     )
 
 
+def numbered(df: DataFrame, column: str) -> DataFrame:
+    """``column`` (distinct values) and ``number``, from 0 in ascending order. Tasks number ranges of their own; what each must add reaches
+    the driver as one number a task."""
+    dealt = df.select(column).repartitionByRange(F.col(column)).sortWithinPartitions(column).withColumn("m", F.monotonically_increasing_id())
+    dealt = settle(dealt.select(column, F.shiftright("m", 33).alias("part"), F.col("m").bitwiseAND(F.lit((1 << 33) - 1)).alias("at")), "numbers")
+    before, starts = 0, []
+    for r in sorted(dealt.groupBy("part").count().collect()):
+        starts.append((r[0], before))
+        before += r[1]
+    first = df.sparkSession.createDataFrame(starts or [(0, 0)], "part long, first long")
+    return dealt.join(F.broadcast(first), "part").select(column, (F.col("at") + F.col("first")).alias("number"))  # a row for each task
+
+
 def dbscan(df: DataFrame, key: str, features: Sequence[str], eps: float, min_samples: int) -> DataFrame:
     """``key``, cluster: -1 for noise. Neighbourhoods include the point itself.
 
-    Points meet in grid cells of eps on the first two features; a point visits the neighbouring cells
-    and distances are checked over all features. Clusters are numbered by their smallest core key, and
-    a border point takes the smallest adjacent number. The cells hold what their density holds: with an
-    eps that covers most points, any DBSCAN compares most pairs.
+    Clusters are numbered by their smallest core key, and a border point takes the smallest adjacent number. ``key`` is a whole number
+    that doesn't repeat; null features count as zero.
+
+    Up to three features, points lie in grid cells whose diagonal is eps. A cell of ``min_samples`` points is dense: all its points are core and
+    of one cluster, so it stands as one node and its points are never paired. Pairs are made between a point of a sparse cell
+    and what is near it, at most ``min_samples`` of them to a cell, so they grow with the points, however dense these
+    lie. Two dense cells are joined by the boxes around the points of their parts: boxes within eps of each other at the
+    far ends join them, boxes that are further apart never do, and points are compared only where boxes leave it open
+    and nothing else has joined the cells. With more features, cells of eps on the first two features only make candidates, and
+    every pair of neighbours is made.
     """
-    grid = list(features[:2])
-    p = df.select(F.col(key).alias("id"), *(F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f"f{i}") for i, f in enumerate(features)))
-    cell = p.withColumns({f"g{i}": F.floor(F.col(f"f{i}") / eps) for i in range(len(grid))})
-    steps = F.array(*(F.lit(s) for s in (-1, 0, 1)))
-    near = cell
-    for i in range(len(grid)):
-        near = near.withColumn(f"s{i}", F.explode(steps)).withColumn(f"g{i}", F.col(f"g{i}") + F.col(f"s{i}")).drop(f"s{i}")
-    other = near.select(*(f"g{i}" for i in range(len(grid))), F.col("id").alias("b"), *(F.col(f"f{i}").alias(f"o{i}") for i in range(len(features))))
-    distance = sum((F.pow(F.col(f"f{i}") - F.col(f"o{i}"), F.lit(2)) for i in range(len(features))), F.lit(0.0))
-    pairs = settle(cell.join(other, [f"g{i}" for i in range(len(grid))]).filter(distance <= eps * eps).select(F.col("id").alias("a"), "b"), "pairs")
-    core = settle(pairs.groupBy("a").agg(F.count("*").alias("n")).filter(F.col("n") >= min_samples).select(F.col("a").alias("id")), "core")
-    inner = settle(pairs.join(core.select(F.col("id").alias("a")), "a", "left_semi").join(core.select(F.col("id").alias("b")), "b", "left_semi"), "inner")
-    labels = core.select("id", F.col("id").alias("root"))
+    d = len(features)
+    dims = d if d <= 3 else 2
+    side = eps / math.sqrt(d) if d <= 3 else eps
+    reach = math.ceil(math.sqrt(d)) if d <= 3 else 1
+    f, g = [f"f{i}" for i in range(d)], [f"g{i}" for i in range(dims)]
+    p = df.select(F.col(key).alias("id"), *(F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(n) for c, n in zip(features, f)))
+    # A hair narrower than the side, so that rounding never puts two points of a cell beyond eps.
+    p = p.withColumns({c: F.floor(F.col(f"f{i}") / (side * (1 - 1e-9))) for i, c in enumerate(g)})
+    dense = p.groupBy(*g).agg(F.count("*").alias("n"), F.min("id").alias("cell")).filter(F.lit(d <= 3) & (F.col("n") >= min_samples)).select(*g, "cell")
+    p = settle(p.join(dense, g, "left"), "points")
+
+    steps = [F.explode(F.array(*(F.lit(s) for s in range(-reach, reach + 1)))).alias(f"s{i}") for i in range(dims)]
+
+    def spread(rows: DataFrame) -> DataFrame:
+        for i in range(dims):
+            rows = rows.select("*", steps[i]).withColumn(g[i], F.col(g[i]) + F.col(f"s{i}")).drop(f"s{i}")
+        return rows
+
+    near = spread(p.filter("cell IS NULL").select("id", *f, *g))
+    other = p.select(F.col("id").alias("b"), F.col("cell").alias("b_cell"), *g, *(F.col(c).alias(f"o{i}") for i, c in enumerate(f)))
+    distance = sum(((F.col(c) - F.col(f"o{i}")) * (F.col(c) - F.col(f"o{i}")) for i, c in enumerate(f)), F.lit(0.0))
+    pairs = settle(near.join(other, g).filter(distance <= eps * eps).select(F.col("id").alias("a"), "b", "b_cell"), "pairs")
+    sparse = settle(pairs.groupBy("a").agg(F.count("*").alias("n")).filter(F.col("n") >= min_samples).select(F.col("a").alias("id")), "core")
+
+    # Nodes: dense cells by their smallest key, core points of sparse cells by their own.
+    from_core = pairs.join(sparse.select(F.col("id").alias("a")), "a", "left_semi")
+    to_cells = from_core.filter("b_cell IS NOT NULL").select("a", F.col("b_cell").alias("b"))
+    to_points = from_core.filter("b_cell IS NULL").select("a", "b").join(sparse.select(F.col("id").alias("b")), "b", "left_semi").select("a", "b")
+    joined = _joined_cells(p.filter("cell IS NOT NULL"), f, g, spread, eps, side)
+    nodes = settle(dense.select(F.col("cell").alias("id")).unionByName(sparse), "nodes")
+    one = to_cells.unionByName(to_points).unionByName(joined)
+    inner = settle(one.unionByName(one.select(F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(nodes.select(F.col("id").alias("a"), F.col("id").alias("b"))).distinct(), "inner")
+    labels = nodes.select("id", F.col("id").alias("root"))
     while True:  # smallest reachable core key, with pointer jumping
         step = inner.join(labels.select(F.col("id").alias("b"), "root"), "b").groupBy(F.col("a").alias("id")).agg(F.min("root").alias("root"))
         far = labels.select(F.col("id").alias("root"), F.col("root").alias("far"))
@@ -136,13 +208,34 @@ def dbscan(df: DataFrame, key: str, features: Sequence[str], eps: float, min_sam
         labels = new.select("id", "root")
         if new.filter("root <> before").isEmpty():
             break
-    numbers = labels.select("root").distinct().withColumn("cluster", (F.row_number().over(Window.orderBy("root")) - 1).cast("long"))  # a row for each cluster
-    named = labels.join(numbers, "root").select("id", "cluster")
-    border = pairs.join(named.select(F.col("id").alias("b"), "cluster"), "b").groupBy(F.col("a").alias("id")).agg(F.min("cluster").alias("border"))
-    out = p.select("id").join(named, "id", "left").join(border, "id", "left")
+    named = settle(labels.join(numbered(labels.select("root").distinct(), "root"), "root").select("id", F.col("number").alias("cluster")), "named")
+    of_node = named.select(F.col("id").alias("node"), "cluster")
+    border = pairs.select("a", F.coalesce("b_cell", "b").alias("node")).join(of_node, "node").groupBy(F.col("a").alias("id")).agg(F.min("cluster").alias("border"))
+    own = p.select("id", F.coalesce("cell", "id").alias("node")).join(of_node, "node", "left").select("id", "cluster")
+    out = own.join(border, "id", "left")
     return out.select(F.col("id").alias(key), F.coalesce("cluster", "border", F.lit(-1)).alias("cluster"))
 
 
+def _joined_cells(points: DataFrame, f: list[str], g: list[str], spread, eps: float, side: float, cuts: int = 4) -> DataFrame:
+    """a < b: dense cells (by their smallest key) that have points within eps of each other."""
+    part = {f"k{i}": F.floor(F.col(f[i]) / (side * (1 - 1e-9)) * cuts) for i in range(len(g))}
+    points = points.withColumns(part)
+    boxes = settle(points.groupBy("cell", *g, *part).agg(*(F.min(c).alias(f"l{i}") for i, c in enumerate(f)), *(F.max(c).alias(f"h{i}") for i, c in enumerate(f))), "boxes")
+    ends = [x for i in range(len(f)) for x in (f"l{i}", f"h{i}")]
+    mine = spread(boxes.select("cell", *g, *part, *ends))
+    theirs = boxes.select(F.col("cell").alias("b"), *g, *(F.col(k).alias(f"b{k}") for k in part), *(F.col(x).alias(f"b{x}") for x in ends))
+    gap = sum((F.pow(F.greatest(F.lit(0.0), F.col(f"l{i}") - F.col(f"bh{i}"), F.col(f"bl{i}") - F.col(f"h{i}")), F.lit(2)) for i in range(len(f))), F.lit(0.0))
+    span = sum((F.pow(F.greatest(F.abs(F.col(f"h{i}") - F.col(f"bl{i}")), F.abs(F.col(f"bh{i}") - F.col(f"l{i}"))), F.lit(2)) for i in range(len(f))), F.lit(0.0))
+    met = settle(mine.join(theirs, g).filter(F.col("cell") < F.col("b")).select(F.col("cell").alias("a"), "b", *part, *(f"b{k}" for k in part), (span <= eps * eps * (1 - 1e-12)).alias("sure"), (gap <= eps * eps * (1 + 1e-12)).alias("open")).filter("open"), "met")
+    sure = met.filter("sure").select("a", "b").distinct()
+    left = met.join(sure, ["a", "b"], "left_anti")
+    one = points.select(F.col("cell").alias("a"), *part, *f)
+    two = points.select(F.col("cell").alias("b"), *(F.col(k).alias(f"b{k}") for k in part), *(F.col(c).alias(f"o{i}") for i, c in enumerate(f)))
+    distance = sum(((F.col(c) - F.col(f"o{i}")) * (F.col(c) - F.col(f"o{i}")) for i, c in enumerate(f)), F.lit(0.0))
+    close = left.join(one, ["a", *part]).join(two, ["b", *(f"b{k}" for k in part)]).filter(distance <= eps * eps).select("a", "b").distinct()
+    return settle(sure.unionByName(close), "joined")
+
+
 def dbscan_summary(found: DataFrame) -> DataFrame:
     noise = F.sum(F.when(F.col("cluster") == -1, 1).otherwise(0))
     return found.agg(F.countDistinct(F.when(F.col("cluster") >= 0, F.col("cluster"))).alias("clusters"), F.coalesce(noise, F.lit(0)).alias("noise"), F.round(100.0 * F.coalesce(noise, F.lit(0)) / F.greatest(F.lit(1), F.count("*")), 2).alias("noise_pct"))
@@ -203,7 +296,7 @@ def anomalies(df: DataFrame, features: Sequence[str], key: str, keep: Sequence[s
     """
     z = zscored(df, features)
     order = F.xxhash64(F.col(key), F.lit(seed))
-    sample = np.array([list(r) for r in z.orderBy(order, key).limit(trees * size).select(*features).collect()], dtype=float).reshape(-1, len(features))
+    sample = z.orderBy(order, key).limit(trees * size).select(*features).toPandas().to_numpy(dtype=float).reshape(-1, len(features))
     if not len(sample):
         return df.select(key, *keep).withColumns({"anomaly_label": F.lit(1), "anomaly_score": F.lit(0.0), "is_anomaly": F.lit(0)})
     forest = isolation_trees(sample, trees, min(size, len(sample)), seed)

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.hashing import trimmed
+from tidemark.functions.hashing import h32, trimmed
 
 WEEKDAYS = ("Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday")
 
@@ -47,10 +47,45 @@ def stamped(df: DataFrame) -> DataFrame:
     return df.withColumn("stream_timestamp", F.current_timestamp())
 
 
+def later(ts: Column, secs: Column) -> Column:
+    """A timestamp some seconds later."""
+    return ts + F.make_interval(secs=secs)
+
+
+#: How the levels of :func:`posture` are shown, and what an unknown level is shown as.
+SHOWN = {"Low": ("LOW RISK", "#10B981"), "Medium": ("ELEVATED", "#F59E0B"), "High": ("HIGH RISK", "#FF2A85"), "Critical": ("CRITICAL", "#F43F5E")}
+
+
 def posture(matches: Column) -> Column:
     return F.when(matches > 100, "High").otherwise("Medium")
 
 
+def shown(level: Column) -> tuple[Column, Column]:
+    """(text, colour) of a level, looked up in a map; those of Medium for an unknown one."""
+    look = lambda k: F.coalesce(F.create_map(*(F.lit(x) for name, both in SHOWN.items() for x in (name, both[k])))[level], F.lit(SHOWN["Medium"][k]))
+    return look(0), look(1)
+
+
+def prefixed(prefix: str, column: str) -> Column:
+    """A label like "Group 3"; null for null."""
+    return F.concat(F.lit(prefix), F.col(column).cast("string"))
+
+
+def has(df: DataFrame, *columns: str) -> bool:
+    """Whether a table has all these columns: what stands on a missing one is left out."""
+    return set(columns) <= set(df.columns)
+
+
+def geo_enriched(df: DataFrame, key: str, label: str, geo: DataFrame, places: dict[str, Sequence[int]], jitter: float = 1.5) -> DataFrame:
+    """With Country, Country_Code, ASN, Latitude and Longitude of a place (``geo_id``) that the key's hash picks from its label's, moved by up to
+    ``jitter`` degrees each way. The same key gives the same place on every run; a label without places gives nulls."""
+    picks = F.create_map(*(x for name, ids in places.items() for x in (F.lit(name), F.array(*(F.lit(int(i)) for i in ids)))))[F.col(label)]
+    moved = lambda seed: (h32(seed, F.col(key)) / float(1 << 32) * 2 - 1) * jitter
+    rows = df.withColumn("__p", picks).withColumn("__p", F.get("__p", F.pmod(h32(0, F.col(key)), F.greatest(F.size("__p"), F.lit(1))).cast("int")))
+    both = rows.join(F.broadcast(geo.withColumnRenamed("geo_id", "__g")), F.col("__p") == F.col("__g"), "left")  # ten rows
+    return both.withColumns({"Latitude": F.round(F.col("base_lat") + moved(1), 4), "Longitude": F.round(F.col("base_lon") + moved(2), 4)}).drop("__p", "__g", "base_lat", "base_lon")
+
+
 def node_style(size: str = "size", kind: str = "type") -> dict[str, Column]:
     """Size within 9 to 36, and a colour by kind."""
     colour = F.when(F.col(kind) == "region", "#d62728").when(F.col(kind) == "nation", "#1f77b4").otherwise("#7f7f7f")

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.hashing import h32
+from tidemark.functions.hashing import digests, number, picked
 from tidemark.functions.lineage import settle
 
+Hash = Callable
 
 def shingles(text: Column, k: int = 3) -> Column:
     """Distinct character ``k``-grams of the lower-case, stripped text; a shorter text is its own shingle."""
@@ -22,37 +25,59 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(union == 0, 1.0).otherwise(F.size(F.array_intersect(a, b)) / union)
 
 
-def _minima(sets: Column, hashes: int, h) -> Column:
+def _hashed(df: DataFrame, sets: str, hashes: int, h: Hash | None) -> DataFrame:
+    """With ``d``: what the hashes of each shingle are picked from. Without a family of its own: md5, four hashes a digest."""
+    each = (lambda x: digests(x, hashes)) if h is None else (lambda x: F.array(*(h(seed, x) for seed in range(hashes))))
+    return df.withColumn("d", F.transform(sets, each))
+
+
+def _minima(hashes: int, h: Hash | None) -> Column:
     def least(seed: int) -> Column:
-        return F.array_min(F.transform(sets, lambda s: h(seed, s)))
+        return number(F.array_min(F.transform("d", lambda x: picked(x, seed)))) if h is None else F.array_min(F.transform("d", lambda x: x[seed]))
 
     return F.array(*(least(seed) for seed in range(hashes)))
 
 
-def signatures(df: DataFrame, key: str, text: str, k: int = 3, hashes: int = 48, h=h32) -> DataFrame:
-    """key, sh (shingles) and sig (array of ``hashes`` minima); no row is exploded."""
+def signatures(df: DataFrame, key: str, text: str, k: int = 3, hashes: int = 48, h: Hash | None = None) -> DataFrame:
+    """id, text, sh (shingles) and sig (array of ``hashes`` minima); no row is exploded."""
     base = df.select(F.col(key).alias("id"), F.col(text).alias("text"), shingles(F.col(text), k).alias("sh"))
-    return base.select("id", "text", "sh", _minima(F.col("sh"), hashes, h).alias("sig"))
+    return _hashed(base, "sh", hashes, h).select("id", "text", "sh", _minima(hashes, h).alias("sig"))
+
+
+def members(signed: DataFrame) -> DataFrame:
+    """id, rep: texts with the same shingles are one, named by the smallest id."""
+    own = signed.select("id", F.md5(F.concat_ws("\x1f", F.sort_array("sh"))).alias("m"))
+    return own.join(own.groupBy("m").agg(F.min("id").alias("rep")), "m").select("id", "rep")
 
 
 def pairs(signed: DataFrame, bands: int = 12, rows: int = 4, threshold: float = 0.55) -> DataFrame:
-    """a < b, exact and estimated Jaccard, of pairs that share a band and reach the threshold exactly."""
-    keys = F.array(*(F.concat_ws(",", F.lit(f"b{b}"), F.transform(F.slice("sig", b * rows + 1, rows), lambda x: x.cast("string"))) for b in range(bands)))
-    long = signed.select("id", F.explode(keys).alias("key"))
-    met = long.alias("x").join(long.withColumnRenamed("id", "id2").alias("y"), "key").filter("id < id2").select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct()
-    left = signed.select(F.col("id").alias("a"), F.col("sh").alias("sa"), F.col("sig").alias("ga"))
-    right = signed.select(F.col("id").alias("b"), F.col("sh").alias("sb"), F.col("sig").alias("gb"))
-    both = met.join(left, "a").join(right, "b")
+    """a < b, exact and estimated Jaccard, of pairs that share a band and reach the threshold exactly.
+
+    Texts with the same shingles are one beforehand: pairs are between the representatives that :func:`members` names. A pair
+    is made in the first band that it shares only, and only if the sizes of its sets allow the threshold; sets travel as 64-bit hashes.
+    Every pair above the threshold is a row of the result, so a family of distinct texts that are all alike has as
+    many pairs as it has.
+    """
+    bytes_ = F.array(*(F.xxhash64(F.slice("sig", b * rows + 1, rows)) for b in range(bands)))
+    own = signed.withColumn("m", F.md5(F.concat_ws("\x1f", F.sort_array("sh"))))
+    one = own.groupBy("m").agg(F.min_by(F.struct("id", F.transform("sh", lambda x: F.xxhash64(x)).alias("sh"), "sig"), "id").alias("x")).select("x.*")
+    one = settle(one.withColumn("bands", bytes_), "signatures")
+    long = one.select("id", "sh", "sig", "bands", F.posexplode("bands").alias("band", "key"))
+    left = long.select("band", "key", F.col("id").alias("a"), F.col("sh").alias("sa"), F.col("sig").alias("ga"), F.col("bands").alias("ba"))
+    right = long.select("band", "key", F.col("id").alias("b"), F.col("sh").alias("sb"), F.col("sig").alias("gb"), F.col("bands").alias("bb"))
+    first = F.array_position(F.zip_with("ba", "bb", lambda x, y: x == y), F.lit(True)) - 1 == F.col("band")
+    sizes = F.least(F.size("sa"), F.size("sb")) >= threshold * F.greatest(F.size("sa"), F.size("sb"))
+    both = left.join(right, ["band", "key"]).filter((F.col("a") < F.col("b")) & sizes & first)
     same = F.size(F.filter(F.zip_with("ga", "gb", lambda x, y: x == y), lambda x: x))
-    both = both.select("a", "b", jaccard(F.col("sa"), F.col("sb")).alias("exact"), (same / F.size("ga")).alias("estimated"))
+    common = F.size(F.array_intersect("sa", "sb"))
+    both = both.select("a", "b", (common / (F.size("sa") + F.size("sb") - common)).alias("exact"), (same / F.size("ga")).alias("estimated"))
     return both.filter(F.col("exact") >= threshold)
 
 
-def query(signed: DataFrame, text: Column, bands: int = 16, rows: int = 4, k: int = 3, threshold: float = 0.5, h=h32) -> DataFrame:
+def query(signed: DataFrame, text: Column, bands: int = 16, rows: int = 4, k: int = 3, threshold: float = 0.5, h: Hash | None = None) -> DataFrame:
     """Documents like one text, itself included, most similar first: a scan that keeps those sharing a band."""
     one = shingles(text, k)
-    sig = _minima(one, bands * rows, h)
-    asked = signed.sparkSession.range(1).select(one.alias("qs"), sig.alias("qg"))
+    asked = _hashed(signed.sparkSession.range(1).select(one.alias("qs")), "qs", bands * rows, h).select("qs", _minima(bands * rows, h).alias("qg"))
     hit = F.exists(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.slice("sig", b * rows + 1, rows) == F.slice("qg", b * rows + 1, rows))
     same = F.size(F.filter(F.zip_with("sig", "qg", lambda x, y: x == y), lambda x: x)) / (bands * rows)
     # One row is joined to each document: a broadcast of a single row.

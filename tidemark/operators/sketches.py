@@ -8,13 +8,14 @@ window: buckets of powers of two.
 from __future__ import annotations
 
 import math
+from collections import deque
 from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.hashing import h32, trailing_zeros, trimmed
+from tidemark.functions.hashing import digests, h32, number, picked, trailing_zeros, trimmed
 
 Hash = Callable
 
@@ -45,21 +46,44 @@ def bloom_build(df: DataFrame, key: str, bits: int, hashes: int, h: Hash = h32)
     return bloom_positions(df.filter(F.col(key).isNotNull()), key, bits, hashes, h=h).distinct()
 
 
+#: A filter of up to so many bits (1 MB) travels to every task as one row; a larger one is met by a join on positions.
+SENT_BITS = 1 << 23
+
+
+def bloom_words(built: DataFrame, bits: int) -> DataFrame:
+    """One row: the filter as an array of 32 bits a number."""
+    words = built.groupBy(F.floor(F.col("pos") / 32).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(pos % 32 AS INT))")).alias("b"))
+    dense = built.sparkSession.range(-(-bits // 32)).join(words, F.col("id") == F.col("w"), "left").select("id", F.coalesce("b", F.lit(0)).alias("b"))
+    return dense.agg(F.sort_array(F.collect_list(F.struct("id", "b"))).alias("x")).select(F.col("x.b").alias("words"))  # bits / 32 numbers
+
+
 def bloom_probe(df: DataFrame, key: str, built: DataFrame, bits: int, hashes: int, h: Hash = h32) -> DataFrame:
-    """Distinct keys and whether the filter may hold them; never a false no."""
+    """Distinct keys and whether the filter may hold them; never a false no. Up to ``SENT_BITS`` the filter is one row that every
+    task tests in place."""
     keys = df.filter(F.col(key).isNotNull()).select(key).distinct()
-    hit = bloom_positions(keys, key, bits, hashes, [key], h).distinct().join(built.withColumn("hit", F.lit(1)), "pos", "left")
-    return hit.groupBy(key).agg((F.count("hit") == F.count("*")).alias("maybe"))
+    if bits > SENT_BITS:
+        hit = bloom_positions(keys, key, bits, hashes, [key], h).distinct().join(built.withColumn("hit", F.lit(1)), "pos", "left")
+        return hit.groupBy(key).agg((F.count("hit") == F.count("*")).alias("maybe"))
+    each = F.array(*(F.pmod(h(seed, F.col("__k")), F.lit(bits)) for seed in range(hashes)))
+    held = lambda p: F.col("words")[F.floor(p / 32)].bitwiseAND(F.expr("1L") * F.pow(F.lit(2), F.pmod(p, F.lit(32))).cast("long")) != 0
+    both = keys.withColumn("__k", trimmed(F.col(key))).join(F.broadcast(bloom_words(built, bits)))  # one row of bits / 4 bytes
+    return both.select(key, F.forall(each, held).alias("maybe"))
 
 
 # Flajolet-Martin
 
 
-def fm_registers(df: DataFrame, key: str, hashes: int = 32, h: Hash = h32) -> DataFrame:
-    """seed, register."""
-    keys = df.filter(F.col(key).isNotNull()).select(F.col(key).alias("k")).distinct()
-    each = F.explode(F.array(*(F.struct(F.lit(s).alias("seed"), trailing_zeros(h(s, F.col("k"))).alias("z")) for s in range(hashes))))
-    return keys.select(each.alias("x")).groupBy(F.col("x.seed").alias("seed")).agg(F.max("x.z").alias("register"))
+def fm_registers(df: DataFrame, key: str, hashes: int = 32, h: Hash | None = None) -> DataFrame:
+    """seed, register. One aggregate of ``hashes`` maxima; the exchange is a row for each task."""
+    keys = df.filter(F.col(key).isNotNull()).select(F.col(key).alias("k"))
+    if h is None:
+        keys = keys.select(digests(F.col("k"), hashes).alias("d"))
+        value = lambda s: number(picked(F.col("d"), s))
+    else:
+        value = lambda s: h(s, F.col("k"))
+    row = keys.agg(*(F.max(trailing_zeros(value(s))).alias(f"r{s}") for s in range(hashes)))
+    each = F.explode(F.array(*(F.struct(F.lit(s).alias("seed"), F.col(f"r{s}").alias("register")) for s in range(hashes))))
+    return row.select(each.alias("x")).select("x.seed", "x.register").filter("register IS NOT NULL")
 
 
 def fm_estimate(registers: DataFrame, hashes: int = 32, groups: int = 4) -> DataFrame:
@@ -119,37 +143,49 @@ def reservoir(df: DataFrame, key: str, k: int, seed: int = 42) -> DataFrame:
 class Dgim:
     """Counts the ones among the last ``window`` bits in O(log**2 window) space.
 
-    Of three buckets of a size the older two merge and keep the newer end; the oldest bucket counts by
-    half. The estimate is within half of the true count.
+    A queue for each power of two holds the ends of its buckets. Of three buckets of a size the older two merge and keep the
+    newer end; the oldest bucket counts by half. The estimate is within half of the true count.
     """
 
-    def __init__(self, window: int = 1000, buckets: list[tuple[int, int]] | None = None, time: int = 0):
-        self.window, self.buckets, self.time = max(1, window), list(buckets or []), time  # (end, size), newest first
+    def __init__(self, window: int = 1000, buckets: Iterable[tuple[int, int]] = (), time: int = 0):
+        self.window, self.time = max(1, window), time
+        self.ends: list[deque[int]] = []  # by power of two, newest first
+        for end, size in buckets:
+            while len(self.ends) < size.bit_length():
+                self.ends.append(deque())
+            self.ends[size.bit_length() - 1].append(end)
+
+    @property
+    def buckets(self) -> list[tuple[int, int]]:
+        """(end, size), newest first."""
+        return [(end, 1 << k) for k, queue in enumerate(self.ends) for end in queue]
 
     def update(self, bit: int) -> None:
         self.time += 1
-        while self.buckets and self.buckets[-1][0] <= self.time - self.window:
-            self.buckets.pop()
-        if not bit:
-            return
-        self.buckets.insert(0, (self.time, 1))
-        i = 0
-        while i + 2 < len(self.buckets) and self.buckets[i][1] == self.buckets[i + 2][1]:
-            end, size = self.buckets[i + 1]
-            self.buckets[i + 1 : i + 3] = [(end, 2 * size)]
-            i += 1
+        while self.ends and (not self.ends[-1] or self.ends[-1][-1] <= self.time - self.window):
+            if self.ends[-1]:
+                self.ends[-1].pop()
+            else:
+                self.ends.pop()
+        end, k = self.time, 0
+        while bit:
+            if k == len(self.ends):
+                self.ends.append(deque())
+            queue = self.ends[k]
+            queue.appendleft(end)
+            if len(queue) < 3:
+                return
+            queue.pop()
+            end, k = queue.pop(), k + 1
 
     def count(self, k: int | None = None) -> int:
         """Ones among the last ``k`` bits (the window, if none is given)."""
         since = self.time - min(k or self.window, self.window)
-        sizes = [s for e, s in self.buckets if e > since]
-        return sum(sizes[:-1]) + (sizes[-1] + 1) // 2 if sizes else 0
+        sizes = [size for end, size in self.buckets if end > since]
+        return sum(sizes) - sizes[-1] // 2 if sizes else 0
 
     def distribution(self) -> dict[int, int]:
-        out: dict[int, int] = {}
-        for _, s in self.buckets:
-            out[s] = out.get(s, 0) + 1
-        return out
+        return {1 << k: len(queue) for k, queue in enumerate(self.ends) if queue}
 
 
 def last_bits(df: DataFrame, order: str, bit: str, window: int) -> DataFrame:
@@ -172,14 +208,29 @@ def dgim_window(df: DataFrame, order: str, bit: str, window: int) -> DataFrame:
 
 
 def running_ones(df: DataFrame, order: str, bit: str, block: int = 4096) -> DataFrame:
-    """ord, bit, pos (from 1, by the ordinal) and ones up to it, by blocks of the ordinal's value: no task orders all rows."""
-    rows = df.select(F.col(order).alias("ord"), F.col(bit).cast("long").alias("bit")).withColumn("blk", F.floor(F.col("ord") / block))
-    sums = rows.groupBy("blk").agg(F.count("*").alias("n"), F.sum("bit").alias("s"))
-    before = Window.orderBy("blk").rowsBetween(Window.unboundedPreceding, -1)  # a row for each block
-    sums = sums.select("blk", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"), F.coalesce(F.sum("s").over(before), F.lit(0)).alias("s0"))
+    """ord, bit, pos (from 1, by the ordinal) and ones up to it. ``order`` is a whole number that doesn't repeat.
+
+    Running sums within blocks of the ordinal, then within blocks of blocks, until one is left: no task orders more
+    than ``block`` rows, at any size.
+    """
+    rows = df.select(F.col(order).cast("long").alias("ord"), F.col(bit).cast("long").alias("bit"))
+    low, high = rows.agg(F.min("ord"), F.max("ord")).first()
+    rows = rows.withColumn("blk", F.floor((F.col("ord") - F.lit(low or 0)) / block))
+    sums, levels, span = rows.groupBy("blk").agg(F.count("*").alias("n"), F.sum("bit").alias("s")), [], ((high or 0) - (low or 0)) // block
+    while True:
+        sums = sums.withColumn("up", F.floor(F.col("blk") / block))
+        before = Window.partitionBy("up").orderBy("blk").rowsBetween(Window.unboundedPreceding, -1)
+        levels.append(sums.select("blk", "up", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"), F.coalesce(F.sum("s").over(before), F.lit(0)).alias("s0")))
+        if not span:
+            break
+        sums, span = sums.groupBy(F.col("up").alias("blk")).agg(F.sum("n").alias("n"), F.sum("s").alias("s")), span // block
+    offsets = levels[-1].select("blk", "n0", "s0")
+    for level in reversed(levels[:-1]):
+        above = offsets.select(F.col("blk").alias("up"), F.col("n0").alias("n1"), F.col("s0").alias("s1"))
+        offsets = level.join(above, "up").select("blk", (F.col("n0") + F.col("n1")).alias("n0"), (F.col("s0") + F.col("s1")).alias("s0"))
     inside = Window.partitionBy("blk").orderBy("ord")
     rows = rows.withColumns({"pos": F.row_number().over(inside), "ones": F.sum("bit").over(inside.rowsBetween(Window.unboundedPreceding, 0))})
-    return rows.join(sums, "blk").select("ord", "bit", (F.col("pos") + F.col("n0")).alias("pos"), (F.col("ones") + F.col("s0")).alias("ones"))
+    return rows.join(offsets, "blk").select("ord", "bit", (F.col("pos") + F.col("n0")).alias("pos"), (F.col("ones") + F.col("s0")).alias("ones"))
 
 
 def exact_window(df: DataFrame, order: str, bit: str, window: int) -> DataFrame:

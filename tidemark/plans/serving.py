@@ -40,25 +40,42 @@ class IndicatorFilter:
     def maybe(self, ip: str) -> bool:
         """False is certain; true may be a false positive."""
         for seed in range(self.hashes):
-            pos = int(hashlib.md5(f"{seed}:{ip.strip()}".encode()).hexdigest()[:8], 16) % self.bits
+            digest = hashlib.md5(f"{seed // 4}:{ip.strip()}".encode()).hexdigest()  # as functions.hashing.h32
+            pos = int(digest[8 * (seed % 4) :][:8], 16) % self.bits
             if not self._set[pos >> 3] & 1 << (pos & 7):
                 return False
         return True
 
 
 class Api:
-    """What a dashboard asks for, over the folder that the medallion plan wrote. Missing tables give None."""
+    """What a dashboard asks for, over the folder that the medallion plan wrote. Missing tables give None.
+
+    Tables are opened once. Those of a bounded size are kept in memory; :meth:`refresh` lets go of all.
+    """
+
+    #: Gold tables whose size doesn't grow with the flows.
+    SMALL = ("gold/gold_summary", "gold/attacks_by_type", "gold/top_attacked_ports")
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root
+        self._open: dict[str, DataFrame] = {}
+        self._filter: IndicatorFilter | None = None
 
     def _table(self, name: str) -> DataFrame | None:
         from pyspark.errors import AnalysisException
 
-        try:
-            return self.spark.read.parquet(f"{self.root}/{name}")
-        except AnalysisException:
-            return None
+        if name not in self._open:
+            try:
+                found = self.spark.read.parquet(f"{self.root}/{name}")
+            except AnalysisException:
+                return None
+            self._open[name] = found.persist() if name in self.SMALL else found
+        return self._open[name]
+
+    def refresh(self) -> None:
+        for table in self._open.values():
+            table.unpersist()
+        self._open, self._filter = {}, None
 
     def summary(self) -> DataFrame | None:
         return self._table("gold/gold_summary")
@@ -81,5 +98,11 @@ class Api:
         return None if found is None else recent(found, n)
 
     def check_ip(self, ip: str) -> DataFrame | None:
+        """Details of an address. The filter answers for most that aren't listed; the table is read for the others only."""
         found = self._table("silver/threat_iocs")
-        return None if found is None else check_ips(self.spark.createDataFrame([(ip.strip(),)], "ip string"), "ip", found)
+        if found is None:
+            return None
+        if self._filter is None:
+            self._filter = IndicatorFilter(found)
+        asked = self.spark.createDataFrame([(ip.strip(),)], "ip string")
+        return check_ips(asked, "ip", found if self._filter.maybe(ip) else found.limit(0))

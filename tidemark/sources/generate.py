@@ -7,14 +7,21 @@ from pyspark.sql import functions as F
 
 from tidemark.sources.tables import geo_dimension
 
-#: label, weight, least and greatest duration (ms), packets forward, packets backward, length, SYN, ports, countries by number.
+#: Of each label: share, duration (ms), packets forward and back, mean length, SYN, ports, countries by number. The values are this
+#: library's own, chosen so that every label can be told by one or two features.
 PROFILES = (
-    ("BENIGN", 0.55, 100, 30000, 2, 25, 2, 30, 100, 900, 0, (80, 443, 53, 123, 8080), (0, 3, 7, 6)),
-    ("DDoS", 0.15, 5, 500, 50, 600, 0, 5, 40, 150, 1, (80, 443, 53), (1, 2, 4, 0, 5)),
-    ("PortScan", 0.10, 1, 100, 1, 3, 0, 1, 40, 60, 1, (21, 22, 23, 80, 443, 445, 3389, 8080), (2, 1, 8)),
-    ("Botnet", 0.08, 10000, 120000, 5, 40, 5, 40, 80, 300, 0, (6667, 8080, 443), (2, 4, 5, 9)),
-    ("Brute Force", 0.07, 500, 5000, 8, 30, 8, 30, 60, 200, 1, (22, 21, 3389), (1, 2, 8, 6)),
-    ("Web Attack", 0.05, 200, 8000, 5, 20, 5, 25, 300, 1400, 0, (80, 443, 8080), (0, 1, 2, 5)),
+    # Ordinary sessions: some seconds, both directions alike, all kinds of lengths, from anywhere.
+    ("BENIGN", 0.60, 200, 45000, 4, 40, 4, 60, 90, 1100, 0, (443, 80, 53, 22), (0, 1, 2, 3, 4, 5, 6, 7)),
+    # A flood: short, hardly answered, small packets by the hundred.
+    ("DDoS", 0.12, 10, 800, 120, 900, 0, 3, 42, 120, 1, (80, 443), (1, 5, 6)),
+    # A probe: one or two packets, reset at once, on ports that administrators use.
+    ("PortScan", 0.11, 1, 40, 1, 2, 0, 1, 40, 52, 1, (22, 21, 3389, 5555, 8080), (2, 4)),
+    # A sign of life to a controller: long, sparse, even.
+    ("Botnet", 0.06, 60000, 300000, 3, 12, 3, 12, 60, 180, 0, (8080, 443, 5555), (2, 8, 9)),
+    # Log-ins tried one after the other: the same few packets both ways.
+    ("Brute Force", 0.07, 1500, 9000, 12, 24, 12, 24, 70, 140, 1, (22, 3389, 21), (1, 2, 6)),
+    # A long request to a web service, a short answer.
+    ("Web Attack", 0.04, 300, 4000, 6, 15, 3, 9, 600, 1400, 0, (80, 8080, 443), (3, 4, 7)),
 )
 
 

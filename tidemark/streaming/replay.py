@@ -18,9 +18,11 @@ def replay(spark: SparkSession, directory: str, schema, files_per_batch: int = 1
     return stamped(spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).json(directory))
 
 
-def to_json(stream: DataFrame, directory: str, checkpoint: str) -> StreamingQuery:
-    """New files for each batch: a reader never sees half an event."""
-    return stream.writeStream.format("json").option("path", directory).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def to_json(stream: DataFrame, directory: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
+    """New files for each batch: a reader never sees half an event. A batch at once after the other until all is read, or one
+    ``every`` so often ("2 seconds"), until the query is stopped."""
+    trigger = {"processingTime": every} if every else {"availableNow": True}
+    return stream.writeStream.format("json").option("path", directory).option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 
 class LiveSketches:
