@@ -25,6 +25,8 @@ def found(spark, rows):
 def test_against_brute_force(spark, seed, monkeypatch):
     monkeypatch.setattr(search, "CANDIDATES", 60)
     monkeypatch.setattr(search, "QUERIES_IN_BLOCK", 4)
+    monkeypatch.setattr(search, "SAMPLE", 30)
+    monkeypatch.setattr(search, "TILE", 2)
     rnd = random.Random(seed)
     dims = rnd.choice([3, 16, 40])
     rows = [(i, [rnd.choice([rnd.gauss(0, 1), 0.25, 0.0]) for _ in range(dims)]) for i in range(400)]
