@@ -57,3 +57,9 @@ def test_order_does_not_change_the_verdict(spark):
     one = {r.doc_id: r.kept for r in quality.judge(df).collect()}
     other = {r.doc_id: r.kept for r in quality.judge(df, rules=tuple(reversed(quality.RULES))).collect()}
     assert one == other
+
+
+def test_a_filter_stays_above_the_metrics(spark):
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    plan = quality.filter_documents(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Filter kept") < plan.index("Generate") and "rand(" not in plan and "xxhash64" not in plan[: plan.index("Generate")]
