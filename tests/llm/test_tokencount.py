@@ -59,6 +59,31 @@ def test_documents(spark):
     assert tc.attribute(df.filter("false")).count() == 0
 
 
+def test_every_line_of_the_query_against_brute_force(spark, tmp_path):
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(60).select("doc_id", "text")
+    odd = [(None, "null id\n  two\n"), (-1, "a real -1"), (-4, "a\n\n\n  b\n日本\n語🎉\n\n"), (-5, None), (-6, "\n"), (-7, "x  \n  \n   y")]
+    df.unionByName(spark.createDataFrame(odd, "doc_id long, text string")).write.parquet(str(tmp_path / "documents.parquet"))
+    enc, _ = tc.encoding()
+    want = []
+    for r in spark.read.parquet(str(tmp_path / "documents.parquet")).collect():
+        text = r.text or ""
+        cuts = [i + 1 for i, c in enumerate(text) if c == "\n"]
+        bounds = [0, *cuts] if cuts and cuts[-1] == len(text) else [0, *cuts, len(text)]
+        lines = list(zip(bounds[:-1], bounds[1:])) or [(0, 0)]
+        raw = [len(text[:b].encode()) for b in bounds]
+        sections = list(zip(raw[:-1], raw[1:])) or [(0, 0)]
+        spans, at = [], 0
+        for t in enc.encode_ordinary(text):
+            n = len(enc.decode_single_token_bytes(t))
+            spans.append((at, at + n))
+            at += n
+        count, crossing, rest = brute(spans, sections, "majority")
+        assert not rest
+        want += [(r.doc_id, i, a, b, int(n), c) for i, ((a, b), n, c) in enumerate(zip(lines, count, crossing))]
+    got = [tuple(r) for r in tc.op1(spark, str(tmp_path)).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str) and any(x[5] for x in want)
+
+
 def test_rule_names():
     with pytest.raises(ValueError):
         tc.attribute(None, rule="none")

@@ -13,7 +13,7 @@ explicit rule:
 Bytes of a token outside every section count for none; a token in no section is left over
 (``section`` -1). Sections are half-open spans of code points, sorted, without overlap.
 
-Defined results: a null id comes out as -1; a null text counts as empty; an empty text has one empty line, with no tokens; very
+Defined results: a null id stays null; a null text counts as empty; an empty text has one empty line, with no tokens; very
 long texts are encoded whole; repeated rows are counted each; an empty table gives no rows; extra
 columns are ignored.
 """
@@ -53,9 +53,11 @@ def encoding(path: str | None = None):
 
 def lines(text: str) -> np.ndarray:
     """Spans of the lines, each with its line feed: shape (n, 2)."""
-    ends = [i + 1 for i, c in enumerate(text) if c == "\n"] if text.count("\n") else []
-    bounds = np.array([0, *ends] + ([len(text)] if not ends or ends[-1] < len(text) else []), dtype=np.int64)
-    return np.stack([bounds[:-1], bounds[1:]], axis=1) if len(bounds) > 1 else np.zeros((1, 2), dtype=np.int64)
+    points = np.frombuffer(text.encode() if text.isascii() else text.encode("utf-32-le", "surrogatepass"), dtype=np.uint8 if text.isascii() else "<u4")
+    ends = np.flatnonzero(points == 10) + 1
+    if not len(ends) or ends[-1] < len(points):
+        ends = np.append(ends, len(points))
+    return np.stack([np.append(0, ends[:-1]), ends], axis=1).astype(np.int64)
 
 
 def allocate(spans: np.ndarray, sections: np.ndarray, rule: str = "majority") -> tuple[np.ndarray, np.ndarray, float]:
@@ -72,17 +74,23 @@ def allocate(spans: np.ndarray, sections: np.ndarray, rule: str = "majority") ->
     b = np.searchsorted(sections[:, 0], end, side="left") - 1
     inside, many = a == b, b > a
     count += np.bincount(a[inside], minlength=n)
-    for t in np.flatnonzero(many):
-        lo, hi = int(a[t]), int(b[t])
-        part = np.minimum(sections[lo : hi + 1, 1], end[t]) - np.maximum(sections[lo : hi + 1, 0], start[t])
+    if t := np.flatnonzero(many).tolist():
+        reps = (b - a + 1)[t]
+        first = np.cumsum(reps) - reps
+        token = np.repeat(t, reps)
+        section = a[token] + np.arange(len(token)) - np.repeat(first, reps)
+        part = np.maximum(np.minimum(sections[section, 1], end[token]) - np.maximum(sections[section, 0], start[token]), 0)
         if rule == "share":
-            count[lo : hi + 1] += part / part.sum()
-            crossing[lo : hi + 1] += part > 0
-            continue
-        held = np.flatnonzero(part > 0)
-        k = lo + int(held[0] if rule == "first" else held[-1] if rule == "last" else np.argmax(part))
-        count[k] += 1
-        crossing[k] += 1
+            count += np.bincount(section, part / np.repeat(np.add.reduceat(part, first), reps), n)
+            crossing += np.bincount(section[part > 0], minlength=n)
+        else:
+            # Of a token's sections, the one that ranks first: most bytes, or first or last with any; the earlier one in a tie.
+            at = np.arange(len(token))
+            rank = {"majority": part, "first": (part > 0).astype(np.int64), "last": np.where(part > 0, at + 1, 0)}[rule]
+            held = at[rank == np.repeat(np.maximum.reduceat(rank, first), reps)]
+            chosen = section[held[np.append(True, token[held][1:] != token[held][:-1])]]
+            count += np.bincount(chosen, minlength=n)
+            crossing += np.bincount(chosen, minlength=n)
     return count, crossing, float(len(spans) - inside.sum() - many.sum())
 
 
@@ -94,7 +102,8 @@ def attribute(docs: DataFrame, sections: Callable[[str], np.ndarray] = lines, ru
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, lengths = encoding(path)
         for batch in batches:
-            out: list[list[np.ndarray]] = [[] for _ in range(6)]
+            ids: list[int | None] = []
+            out: list[list[np.ndarray]] = [[] for _ in range(5)]
             for doc, t in zip(batch.column(0).cast(pa.int64()).to_pylist(), batch.column(1).to_pylist()):
                 ends = np.cumsum(lengths[np.array(enc.encode_ordinary(t), dtype=np.int64)]) if t else np.zeros(0, dtype=np.int64)
                 found = sections(t)
@@ -107,11 +116,12 @@ def attribute(docs: DataFrame, sections: Callable[[str], np.ndarray] = lines, ru
                 if rest:
                     order, found = np.append(order, -1), np.vstack([found, [[0, 0]]])
                     count, crossing = np.append(count, rest), np.append(crossing, 0)
-                for column, values in zip(out, (np.full(len(found), -1 if doc is None else doc), order, found[:, 0], found[:, 1], count, crossing)):
+                ids += [doc] * len(found)
+                for column, values in zip(out, (order, found[:, 0], found[:, 1], count, crossing)):
                     column.append(values)
-            if out[0]:
-                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), kind) for c, kind in zip(out, kinds)], ["doc_id", "section", "start", "end", "n_tokens", "n_crossing"])
+            if ids:
+                kinds = (pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array(np.concatenate(c), kind) for c, kind in zip(out, kinds))], ["doc_id", "section", "start", "end", "n_tokens", "n_crossing"])
 
     return docs.select("doc_id", text_or_empty(text)).mapInArrow(run, SCHEMA)
 
