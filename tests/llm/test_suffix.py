@@ -101,3 +101,27 @@ def test_refinement_numbers_equal_strings():
     for i, b in zip(at, bucket):
         assert names.setdefault(int(b), bytes(data[i : i + 100])) == bytes(data[i : i + 100])
     assert len(names) == len({bytes(data[i : i + 100]) for i in at})
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_refinement_of_pieces(seed):
+    """Pieces of all lengths, much repetition: equal numbers for equal strings, however buckets are parted."""
+    rnd = random.Random(seed)
+    base = "".join(rnd.choices("ab", k=150)) if seed % 2 else "ab" * 80
+    pieces = []
+    for _ in range(60):
+        at = rnd.randrange(len(base) - 40)
+        t = list(base[at : at + rnd.randint(32, 110)] + "".join(rnd.choices("abc", k=rnd.choice([0, 3, 30]))))
+        if rnd.random() < 0.4:
+            t[rnd.randrange(len(t))] = "\0z"[rnd.randrange(2)]
+        pieces.append("".join(t).encode())
+    data = np.frombuffer(b"".join(pieces), dtype=np.uint8)
+    sizes = np.array([len(p) for p in pieces])
+    room = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(data))
+    at = np.flatnonzero(room >= 32)
+    for parts in (1, 4, 50):
+        bucket = suffix.refine(data, at, room, 32, parts)
+        names = {}
+        for i, b in zip(at, bucket):
+            assert names.setdefault(int(b), bytes(data[i : i + 32])) == bytes(data[i : i + 32])
+        assert len(names) == len({bytes(data[i : i + 32]) for i in at})

@@ -10,10 +10,12 @@ Suffixes are sorted only as far as it matters, in buckets that meet on one task:
    bucket of their anchor's q-gram. Neighbouring strings with one anchor form a span. Spans with equal
    bytes (by anchor and content hash, 128 bits) are found first; all but the first of them go as a whole.
 2. Buckets that hold several different spans are refined. All positions of the spans start in buckets
-   of their first 8 bytes; buckets are then refined by sorting on the bucket numbers of later offsets
-   (8, 16, 32 and then 36 further on), each round using the numbers that the last one made, and only
-   positions whose bucket holds others are sorted again. At depth 100 a bucket is a set of equal
-   strings, and all but its first position go.
+   of their first 8 bytes; a position's pointer is the place of its bucket in sorted order. A bucket whose positions share
+   ``depth`` bytes is sorted by the pointers of the positions ``depth`` further on, and what these share is added
+   to the depth of the new buckets. Buckets are sorted part after part, and pointers change at once, so every part already uses
+   what the parts before it have found out, and so do later passes; only buckets of several positions that
+   share less than ``LENGTH`` bytes are sorted again. Pointers are in byte order, so equal strings are neighbours in the
+   end, and all but the first position of each go.
 3. A q-gram that very many documents share, in different surroundings, would fill one bucket. Such
    q-grams are found on a bounded sample of documents (the sample decides the way, never the result);
    their strings are keyed one by one by their own 128-bit hash instead, with equal ones of a batch
@@ -102,29 +104,64 @@ def _content(g8: np.ndarray, start: np.ndarray, size: np.ndarray, most: int, see
     return mix(out)
 
 
-def refine(data: np.ndarray, at: np.ndarray, room: np.ndarray, length: int = LENGTH) -> np.ndarray:
+def _words(data: np.ndarray, room: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each position on, as numbers in byte order; zeros beyond the end of the position's piece."""
+    g = grams8(np.append(data, np.zeros(7, dtype=np.uint8))).byteswap()
+    left = np.minimum(room, 8).astype(_U)
+    return np.where(left == 8, g, np.where(left == 0, _U(0), g >> (_U(64) - _U(8) * np.maximum(left, _U(1))) << (_U(64) - _U(8) * np.maximum(left, _U(1)))))
+
+
+def refine(data: np.ndarray, at: np.ndarray, room: np.ndarray, length: int = LENGTH, parts: int = 4) -> np.ndarray:
     """Bucket numbers of the positions ``at`` by their first ``length`` bytes: equal numbers, equal strings.
 
-    ``room``: for every position of ``data``, the bytes to the end of its piece.
+    ``room``: for every position of ``data``, the bytes to the end of its piece. Bucket-pointer refinement, see above.
     """
-    depth = 8
-    bucket = np.full(len(data), -1, dtype=np.int64)
-    alive = np.flatnonzero(room >= depth)
-    _, bucket[alive] = np.unique(grams8(data)[alive], return_inverse=True)
-    while depth < length:
-        step = min(depth, length - depth)
-        alive = np.flatnonzero(room >= depth + step)
-        own = bucket[alive]
-        crowd = np.bincount(own)[own] > 1  # a position alone in its bucket is in place
-        new = np.full(len(data), -1, dtype=np.int64)
-        most = int(bucket.max(initial=0)) + 1
-        again = alive[crowd]
-        _, refined = np.unique(bucket[again] * most + bucket[again + step], return_inverse=True)
-        new[again] = refined
-        alone = alive[~crowd]
-        new[alone] = int(refined.max(initial=-1)) + 1 + np.arange(len(alone))
-        bucket, depth = new, depth + step
-    return bucket[at]
+    n = len(data)
+    words = _words(data, room)
+    order = np.lexsort((np.minimum(room, 8), words))
+    new = np.append(True, (words[order][1:] != words[order][:-1]) | (np.minimum(room, 8)[order][1:] != np.minimum(room, 8)[order][:-1]))
+    pointer = np.empty(n + 1, dtype=np.int64)
+    pointer[n] = -1
+    begins = np.flatnonzero(new)
+    sizes = np.diff(np.append(begins, n))
+    pointer[order] = np.repeat(begins, sizes)
+    depth = np.full(n + 1, 8, dtype=np.int64)
+    depth[:n][room < 8] = length  # a piece's last bytes are told by themselves
+    active = order[np.repeat(sizes > 1, sizes)]
+    active = active[depth[active] < length]
+    while len(active):
+        # ``active`` lies bucket by bucket; parts end where buckets do.
+        starts = np.flatnonzero(np.append(True, pointer[active][1:] != pointer[active][:-1]))
+        cuts = np.unique(np.append(starts[np.minimum(np.searchsorted(starts, np.arange(parts) * (len(active) // parts + 1)), len(starts) - 1)], len(active)))
+        kept = []
+        for x, y in zip(np.append(0, cuts[:-1]), cuts):
+            some = active[x:y]
+            if not len(some):
+                continue
+            further = np.where(room[some] > depth[some], some + depth[some], n)
+            key = pointer[further]
+            by = np.lexsort((key, pointer[some]))
+            some, key, further = some[by], key[by], further[by]
+            old = pointer[some]
+            bucket = np.append(True, old[1:] != old[:-1])
+            new = bucket | np.append(True, key[1:] != key[:-1])
+            first = np.flatnonzero(bucket)
+            place = np.arange(len(some)) - np.repeat(first, np.diff(np.append(first, len(some))))
+            begin = np.flatnonzero(new)
+            size = np.diff(np.append(begin, len(some)))
+            grown = np.where(further == n, length, depth[some] + depth[further])
+            pointer[some] = np.repeat((old + place)[begin], size)
+            depth[some] = np.minimum(grown, length)
+            kept.append(some[np.repeat(size > 1, size) & (depth[some] < length)])
+        active = np.concatenate(kept)
+    order = at[np.argsort(pointer[at], kind="stable")]
+    apart = np.zeros(max(len(order) - 1, 0), dtype=bool)
+    for k in [*range(0, length - 7, 8), length - 8]:
+        w = words[order + k]
+        apart |= w[1:] != w[:-1]
+    number = np.empty(n, dtype=np.int64)
+    number[order] = np.append(0, np.cumsum(apart))[: len(order)]
+    return number[at]
 
 
 def _later(order_columns: list[np.ndarray], same: list[np.ndarray]) -> np.ndarray:
@@ -278,12 +315,12 @@ def refined(joined: DataFrame, length: int = LENGTH) -> DataFrame:
     def work(docs: np.ndarray, starts: np.ndarray, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         sizes = np.array([len(p) for p in pieces])
         ends = np.cumsum(sizes)
-        data = np.frombuffer(b"".join(pieces) + b"\0" * 8, dtype=np.uint8)
-        room = np.append(np.repeat(ends, sizes) - np.arange(ends[-1]), np.zeros(8, dtype=np.int64))[: len(data) - 7]
+        data = np.frombuffer(b"".join(pieces), dtype=np.uint8)
+        room = np.repeat(ends, sizes) - np.arange(ends[-1])
         counts = sizes - length + 1
         first = np.repeat(np.cumsum(counts) - counts, counts)
         within = np.arange(counts.sum()) - first
-        bucket = refine(data, np.repeat(ends - sizes, counts) + within, np.append(room, np.zeros(7, dtype=np.int64)), length)
+        bucket = refine(data, np.repeat(ends - sizes, counts) + within, room, length)
         doc, at = np.repeat(docs, counts), np.repeat(starts, counts) + within
         gone = _later([at, doc], [bucket])
         doc, at = doc[gone], at[gone]
