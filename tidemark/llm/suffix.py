@@ -107,8 +107,10 @@ def _content(g8: np.ndarray, start: np.ndarray, size: np.ndarray, most: int, see
 def _words(data: np.ndarray, room: np.ndarray) -> np.ndarray:
     """The 8 bytes from each position on, as numbers in byte order; zeros beyond the end of the position's piece."""
     g = grams8(np.append(data, np.zeros(7, dtype=np.uint8))).byteswap()
-    left = np.minimum(room, 8).astype(_U)
-    return np.where(left == 8, g, np.where(left == 0, _U(0), g >> (_U(64) - _U(8) * np.maximum(left, _U(1))) << (_U(64) - _U(8) * np.maximum(left, _U(1)))))
+    tail = np.flatnonzero(room < 8)  # at least one byte is left everywhere
+    drop = _U(64) - _U(8) * room[tail].astype(_U)
+    g[tail] = g[tail] >> drop << drop
+    return g
 
 
 def refine(data: np.ndarray, at: np.ndarray, room: np.ndarray, length: int = LENGTH, parts: int = 4) -> np.ndarray:
@@ -118,14 +120,19 @@ def refine(data: np.ndarray, at: np.ndarray, room: np.ndarray, length: int = LEN
     """
     n = len(data)
     words = _words(data, room)
-    order = np.lexsort((np.minimum(room, 8), words))
-    new = np.append(True, (words[order][1:] != words[order][:-1]) | (np.minimum(room, 8)[order][1:] != np.minimum(room, 8)[order][:-1]))
+    if (data == 0).any():  # zeros beyond the end and zeros of the text are told apart
+        short = np.minimum(room, 8)
+        order = np.lexsort((short, words))
+        new = np.append(True, (words[order][1:] != words[order][:-1]) | (short[order][1:] != short[order][:-1]))
+    else:
+        order = np.argsort(words)
+        new = np.append(True, words[order][1:] != words[order][:-1])
     pointer = np.empty(n + 1, dtype=np.int64)
     pointer[n] = -1
     begins = np.flatnonzero(new)
     sizes = np.diff(np.append(begins, n))
     pointer[order] = np.repeat(begins, sizes)
-    depth = np.full(n + 1, 8, dtype=np.int64)
+    depth = np.full(n + 1, 8, dtype=np.int16)
     depth[:n][room < 8] = length  # a piece's last bytes are told by themselves
     active = order[np.repeat(sizes > 1, sizes)]
     active = active[depth[active] < length]
@@ -139,20 +146,19 @@ def refine(data: np.ndarray, at: np.ndarray, room: np.ndarray, length: int = LEN
             if not len(some):
                 continue
             further = np.where(room[some] > depth[some], some + depth[some], n)
-            key = pointer[further]
-            by = np.lexsort((key, pointer[some]))
-            some, key, further = some[by], key[by], further[by]
-            old = pointer[some]
-            bucket = np.append(True, old[1:] != old[:-1])
-            new = bucket | np.append(True, key[1:] != key[:-1])
-            first = np.flatnonzero(bucket)
-            place = np.arange(len(some)) - np.repeat(first, np.diff(np.append(first, len(some))))
-            begin = np.flatnonzero(new)
+            both = pointer[some] * (n + 1) + pointer[further] + 1  # bucket, then key: below 2**63
+            by = np.argsort(both)
+            some, further, both = some[by], further[by], both[by]
+            begin = np.flatnonzero(np.append(True, both[1:] != both[:-1]))
             size = np.diff(np.append(begin, len(some)))
-            grown = np.where(further == n, length, depth[some] + depth[further])
-            pointer[some] = np.repeat((old + place)[begin], size)
-            depth[some] = np.minimum(grown, length)
-            kept.append(some[np.repeat(size > 1, size) & (depth[some] < length)])
+            old = pointer[some[begin]]
+            first = np.append(True, old[1:] != old[:-1])
+            bucket = np.flatnonzero(first)  # the first of the new buckets in each old one
+            place = begin - np.repeat(begin[bucket], np.diff(np.append(bucket, len(begin))))
+            grown = np.where(further[begin] == n, length, np.minimum(depth[some[begin]] + depth[further[begin]], length))
+            pointer[some] = np.repeat(old + place, size)
+            depth[some] = np.repeat(grown, size)
+            kept.append(some[np.repeat((size > 1) & (grown < length), size)])
         active = np.concatenate(kept)
     order = at[np.argsort(pointer[at], kind="stable")]
     apart = np.zeros(max(len(order) - 1, 0), dtype=bool)
