@@ -59,7 +59,7 @@ def test_as_few_bins_as_one_by_one(seed):
 
 def test_documents(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
-    df = df.unionByName(spark.createDataFrame([(10_000, None, "a"), (10_001, "", "b"), (10_002, "same", "c"), (10_002, "same", "c")], "doc_id long, text string, lang string"))
+    df = df.unionByName(spark.createDataFrame([(10_000, None, "a"), (10_001, "", "b"), (10_002, "same", "c"), (10_002, "same", "c"), (None, "no id", "d"), (None, "no id", "d")], "doc_id long, text string, lang string"))
     e = bpe.encoder(bpe.vocabulary_path())
     want = []
     for r in df.collect():
@@ -68,7 +68,7 @@ def test_documents(spark):
             part = ids[k : k + 2048]
             want.append((r.doc_id, k // 2048, k, len(part), zlib.crc32(np.array(part, dtype="<u4").tobytes())))
     got = packing.pack(df).collect()
-    assert sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == sorted(want)
+    assert sorted(((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got), key=str) == sorted(want, key=str)
     bins = defaultdict(list)
     for r in got:
         bins[r.sequence_id].append((r.offset, r.length))

@@ -51,3 +51,27 @@ def test_run_gives_the_last_stage(spark):
     out = corpus_pipeline.run(spark, SF)
     assert out.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] and out.count() > 50
     assert quality.RULES and len(corpus_pipeline.STAGES) == 5
+
+
+def test_odd_documents_and_clashing_names(spark):
+    """Nulls, empty and long texts, repeated rows and ids, and columns with names that the stages use themselves."""
+    words = lambda k, n: " ".join(f"word{k}x{i}" for i in range(n))
+    base = [(i, words(i, 60) + ".", "en", "s", None) for i in range(12)]
+    odd = [(20, None, "en", "s", 0), (21, "", None, None, 0), (None, words(50, 60) + ".", "en", "s", 1), (22, base[3][1], "en", "s", 1), (23, base[4][1], "en", "s", 1), (4, base[4][1], "en", "s", None), (24, words(70, 40000) + ".", "en", "s", 1), (25, "mail jo@x.org " + words(80, 60) + ".", "en", "s", 1)]
+    names = ["kept", "row", "class", "id", "band", "key", "n_words", "base_failed", "starts", "copy", "h", "found", "spans", "ids", "sequence_id", "__first"]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` string" for n in names)
+    docs = spark.createDataFrame([(*r, *(f"own {n}" for n in names)) for r in base + odd], schema)
+    columns, tables = docs.columns, []
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = corpus_pipeline.settle(stage(spark, docs, SF), "odd-stage")
+        assert docs.columns == columns and all(r[n] == f"own {n}" for r in docs.collect() for n in names)
+        tables.append(sorted((str(r.doc_id), r.text) for r in docs.collect()))
+    kept = dict(tables[2])
+    assert {d for d, _ in tables[0]} == {str(i) for i in [*range(12), 22, 23, 24, 25]} | {"None"}
+    assert set(kept) == {str(i) for i in [*range(12), 24, 25]} | {"None"} and len(tables[2]) == 15 and kept["24"].count(" ") == 39999
+    assert dict(tables[3])["25"].startswith("mail [EMAIL] word80x0")
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
+    assert {r.doc_id for r in packed.collect()} == {*range(12), 24, 25, None}
+    empty = docs.filter("false")
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, SF).count() == 0

@@ -469,8 +469,9 @@ def keep_one(docs: DataFrame) -> DataFrame:
     out = docs.join(named, "doc_id", "left_semi")
     if repeated(docs.select(F.col("doc_id").alias("id")).filter("id IS NOT NULL")):
         rest = F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns))
-        order = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_first(), rest)  # the rows of one id
-        out = out.withColumn("__first", F.row_number().over(order)).filter("__first = 1").drop("__first")
+        order = Window.partitionBy("id").orderBy(F.col("text").asc_nulls_first(), "rest")  # the rows of one id
+        rows = out.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").alias("id"), "text", rest.alias("rest"))
+        out = rows.withColumn("first", F.row_number().over(order)).filter("first = 1").select("row.*")
     return out.unionByName(docs.filter("doc_id IS NULL"))
 
 
