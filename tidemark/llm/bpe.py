@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table, text_or_empty
+from .common import ship, table, text_or_empty
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -183,6 +183,7 @@ def encoded(docs: DataFrame, columns: list[str], schema: str, digest, path: str
             yield from digest(e, batch, texts)
 
     source = docs.select(*columns, text_or_empty(text).alias("__text"))
+    ship(docs.sparkSession)
     return source.mapInArrow(run, schema)
 
 

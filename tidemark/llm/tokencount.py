@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table, text_or_empty
+from .common import ship, table, text_or_empty
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 RULES = ("majority", "first", "last", "share")
@@ -123,6 +123,7 @@ def attribute(docs: DataFrame, sections: Callable[[str], np.ndarray] = lines, ru
                 kinds = (pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array(np.concatenate(c), kind) for c, kind in zip(out, kinds))], ["doc_id", "section", "start", "end", "n_tokens", "n_crossing"])
 
+    ship(docs.sparkSession)
     return docs.select("doc_id", text_or_empty(text)).mapInArrow(run, SCHEMA)
 
 
