@@ -9,9 +9,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions.shipping import ship
+
 
 def trimmed(col: Column) -> Column:
     """As text, without white space at either end."""
@@ -79,6 +81,7 @@ def murmur3_32(seed: int, value: Column) -> Column:
     def run(v: pd.Series) -> pd.Series:
         return pd.Series(murmur3_32_of(v, seed).astype("int64")).where(v.notna().to_numpy(), None).astype("Int64")
 
+    ship(SparkSession.active())
     return run(value.cast("string"))
 
 

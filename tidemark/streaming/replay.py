@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from tidemark.functions.shipping import ship
 from tidemark.operators import sketches
 from tidemark.operators.relational import stamped
 
@@ -75,5 +76,6 @@ def dgim_stream(stream: DataFrame, key: str, order: str, bit: str, window: int)
         state.update((d.time, [e for e, _ in d.buckets], [s for _, s in d.buckets]))
         yield pd.DataFrame({"key": [str(k[0])], "time": [d.time], "estimate": [d.count()]})
 
+    ship(stream.sparkSession)
     grouped = stream.groupBy(key)
     return grouped.applyInPandasWithState(step, "key string, time long, estimate long", "time long, ends array<long>, sizes array<long>", "update", "NoTimeout")
