@@ -28,17 +28,29 @@ def shared_dir(spark: SparkSession) -> str:
 def settle(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back. The package goes to the workers first.
 
-    A result may read these tables for as long as it is used, so nothing here deletes them: :func:`cleared` does, for a caller who is
-    done with a session's results; on a cluster the folder's own retention rule is the other way.
+    A result may read these tables for as long as it is used, so they stay: :func:`cleared` deletes them for a caller who is
+    done with a session's results; on a cluster the folder's own retention rule is the other way. Loops :func:`discard` the table of
+    a round once the next one is written.
     """
     ship(df.sparkSession)
     path = f"{shared_dir(df.sparkSession)}/settled-{df.sparkSession.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._settled_at = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True))
+
+
+def discard(settled: DataFrame | None) -> None:
+    """Deletes the table behind a frame that :func:`settle` gave, if it is one. Nothing that is still to be computed may read it."""
+    if path := getattr(settled, "_settled_at", None):
+        _delete(settled.sparkSession, path)
 
 
 def cleared(spark: SparkSession) -> bool:
     """Deletes all tables that this application has settled; whether there were any. Results that read them are void."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/settled-{spark.sparkContext.applicationId}")
-    return bool(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True))
+    return _delete(spark, f"{shared_dir(spark)}/settled-{spark.sparkContext.applicationId}")

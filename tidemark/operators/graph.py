@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.lineage import settle
+from tidemark.functions.lineage import discard, settle
 
 
 def merged_edges(*parts: DataFrame) -> DataFrame:
@@ -35,13 +35,14 @@ def pagerank(edges: DataFrame, alpha: float = 0.85, iterations: int = 100, toler
     if not n:
         return nodes.select("node", F.lit(0.0).alias("pagerank"))
     shares = shares.repartition("src").persist()  # rebuilt from its table, if an executor is lost
-    ranks, lost = nodes.select("node", "dangling", F.lit(1.0 / n).alias("pagerank")), loose / n
+    ranks, lost, last = nodes.select("node", "dangling", F.lit(1.0 / n).alias("pagerank")), loose / n, None
     for _ in range(iterations):
         given = shares.join(ranks.select(F.col("node").alias("src"), "pagerank"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("pagerank") * F.col("share")).alias("got"))
         new = F.lit((1 - alpha) / n + alpha * lost / n) + alpha * F.coalesce("got", F.lit(0.0))
         step = settle(ranks.join(given, "node", "left").select("node", "dangling", new.alias("pagerank"), F.col("pagerank").alias("before")), "ranks")
         lost, change = step.agg(F.coalesce(F.sum(F.when(F.col("dangling"), F.col("pagerank"))), F.lit(0.0)), F.sum(F.abs(F.col("pagerank") - F.col("before")))).first()
-        ranks = step.drop("before")
+        discard(last)
+        ranks, last = step.drop("before"), step
         if tolerance and change < n * tolerance:
             break
     shares.unpersist()

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.hashing import digests, number, picked
-from tidemark.functions.lineage import settle
+from tidemark.functions.lineage import discard, settle
 
 Hash = Callable
 
@@ -93,13 +93,15 @@ def star_clusters(ids: DataFrame, links: DataFrame) -> DataFrame:
     ``ids``: id. ``links``: a < b.
     """
     both = settle(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "both")
-    state = ids.select("id").distinct().withColumn("state", F.lit("?"))
+    state, last = ids.select("id").distinct().withColumn("state", F.lit("?")), None
     while True:
         near = both.join(state.select(F.col("id").alias("b"), F.col("state").alias("s")), "b").groupBy(F.col("a").alias("id")).agg(
             F.max(F.col("s") == "seed").alias("by_seed"), F.min(F.when(F.col("s") == "?", F.col("b"))).alias("first_open")
         )
         new = F.when(F.col("state") != "?", F.col("state")).when(F.coalesce("by_seed", F.lit(False)), "member").when(F.col("first_open").isNull() | (F.col("id") < F.col("first_open")), "seed").otherwise("?")
         state = settle(state.join(near, "id", "left").select("id", new.alias("state")), "state")
+        discard(last)
+        last = state
         if state.filter("state = '?'").isEmpty():
             break
     seeds = state.filter("state = 'seed'").select(F.col("id").alias("seed"))
