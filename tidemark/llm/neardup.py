@@ -46,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import mix, settle, table, text_or_empty
+from .common import discard, mix, settle, table, text_or_empty
 from .shingles import counted, parts
 
 SIZE, THRESHOLD = 5, 0.8
@@ -416,13 +416,15 @@ def components(edges: DataFrame) -> DataFrame:
     """id, class (the smallest id) of every end of an edge (a, b)."""
     both = settle(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     labels = settle(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("class")), "labels")
+    last = labels
     while True:
         near = both.join(labels, both.b == labels.id).groupBy(both.a.alias("id")).agg(F.min("class").alias("near"))
         step = labels.join(near, "id").select("id", F.least("class", "near").alias("next"), F.col("class").alias("before"))
         # Pointer jumping: a label's own label.
         jump = labels.select(F.col("id").alias("next"), F.col("class").alias("far"))
         new = settle(step.join(jump, "next", "left").select("id", F.least("next", F.coalesce("far", "next")).alias("class"), "before"), "labels")
-        labels = new.select("id", "class")
+        discard(last)
+        labels, last = new.select("id", "class"), new
         if new.filter("class <> before").isEmpty():
             return labels
 
