@@ -42,6 +42,8 @@ LENGTH, Q = 100, 24
 #: Documents in the sample that looks for crowded q-grams, and the share of them from which one is crowded.
 SAMPLE_DOCS, CROWDED = 20_000, 0.001
 BUCKET_SPANS = 20_000
+#: Bytes of pieces that are refined together, whole buckets of them.
+BATCH_BYTES = 2 << 20
 #: Bytes taken at once, below 2**20: positions take 20 bits beside a hash.
 _CHUNK = 1 << 19
 _U = np.uint64
@@ -127,7 +129,7 @@ def refine(data: np.ndarray, at: np.ndarray, room: np.ndarray, length: int = LEN
     else:
         order = np.argsort(words)
         new = np.append(True, words[order][1:] != words[order][:-1])
-    pointer = np.empty(n + 1, dtype=np.int64)
+    pointer = np.empty(n + 1, dtype=np.int32 if n < 1 << 31 else np.int64)
     pointer[n] = -1
     begins = np.flatnonzero(new)
     sizes = np.diff(np.append(begins, n))
@@ -146,7 +148,7 @@ def refine(data: np.ndarray, at: np.ndarray, room: np.ndarray, length: int = LEN
             if not len(some):
                 continue
             further = np.where(room[some] > depth[some], some + depth[some], n)
-            both = pointer[some] * (n + 1) + pointer[further] + 1  # bucket, then key: below 2**63
+            both = pointer[some].astype(np.int64) * (n + 1) + pointer[further] + 1  # bucket, then key: below 2**63
             by = np.argsort(both)
             some, further, both = some[by], further[by], both[by]
             begin = np.flatnonzero(np.append(True, both[1:] != both[:-1]))
@@ -350,7 +352,7 @@ def refined(joined: DataFrame, length: int = LENGTH) -> DataFrame:
                 continue
             held.append(b)
             size += b.nbytes
-            if size < 4 << 20:
+            if size < BATCH_BYTES:
                 continue
             rows = pa.Table.from_batches(held)
             route = rows.column(0).to_numpy()
