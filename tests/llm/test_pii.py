@@ -94,6 +94,11 @@ def test_look_alikes_stay(text):
     assert pii.masked(text, pii.SpanClassifier.train({})) == text
 
 
+@pytest.mark.parametrize("text, shown", [('password = "correcthorse"', 'password = "[SECRET]"'), ("login with pwd='Sunshine!' now", "login with pwd='[SECRET]' now"), ('{"api_key": "abc-1234-def"}', '{"api_key": "[SECRET]"}'), ("a token: something of value", "a token: something of value"), ("password: required here", "password: required here"), ("token = next(tokens)", "token = next(tokens)"), ("key: C major", "key: C major")])
+def test_short_secrets(text, shown):
+    assert pii.masked(text, pii.SpanClassifier.train({})) == shown
+
+
 def test_documents(spark):
     df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text", "doc_id", "lang")
     df = df.unionByName(spark.createDataFrame([(None, -1, "x"), ("", -2, "x"), ("call +1 (743) 555-3824", -3, None)], "text string, doc_id long, lang string"))

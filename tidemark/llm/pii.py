@@ -138,7 +138,8 @@ def loose_spans(text: str, base: list[Span]) -> list[Span]:
         for m in pattern.finditer(text):
             start, end = m.span(1) if pattern is _ASSIGNED else m.span()
             if pattern is _ASSIGNED:
-                end = start + len(text[start:end].rstrip(".)]}!?"))
+                if text[end : end + 1] not in ('"', "'"):  # else the quotes say where it ends
+                    end = start + len(text[start:end].rstrip(".)]}!?"))
                 if end - start < 6:
                     continue
             elif kind == "secret" and not (any(c.isdigit() for c in m[0]) and any(c.isalpha() for c in m[0])):
@@ -204,11 +205,13 @@ def votes(text: str, span: Span) -> tuple[int, ...]:
     else:
         body = value.rstrip("=")
         classes = sum((any(c.islower() for c in body), any(c.isupper() for c in body), any(c.isdigit() for c in body), any(not c.isalnum() for c in body)))
-        assigned = bool(re.search(r"[=:]>?[ \t]{0,4}[\"']?$", text[max(0, start - 8) : start]))
+        given = text[max(0, start - 8) : start]
+        assigned = bool(re.search(r"[=:]>?[ \t]{0,4}[\"']?$", given))
+        literal = bool(re.search(r"[=:]>?[ \t]{0,4}[\"']$|[A-Za-z_]=$", given))  # in quotes, or right after an equals sign
         gazetteer = 1 if _PROVIDER.fullmatch(body) else 0 if _UUID.fullmatch(body) or re.search(r"[(){}$\[\]]|::|\.\w+\(", body) else 2
         shape = 0 if _wordy(body) or body.count("/") > 1 and "." not in body and not assigned else 1 if classes >= 3 else 2
         valid = int(_entropy(body) >= (3.0 if len(body) >= 16 else 2.2) and classes > 1)
-        edge = 1 if assigned else edge if not (left in "\"'" and left) else 2
+        edge = 1 if literal else 2 if assigned or left and left in "\"'" else edge
     near = _FOR[kind]
     context = 0 if any(w.strip("_") in _AGAINST for w in before[-2:]) else 1 if any(w in near or any(x in near for x in w.split("_")) for w in before) else 2
     if kind != "secret" and edge and left in ("", " ", "\n", "\t", '"', "'", "(", ":", "<", "=") and (not right or right in " \n\t\"').,;:>!?"):
@@ -235,6 +238,9 @@ def _example(rnd: random.Random, kind: str, personal: bool) -> tuple[str, str]:
     mixed = lambda n: run(_UPPER, 1) + run(_LOWER, 1) + run(_DIGITS, 1) + run(_UPPER + _LOWER + _DIGITS, n - 3)
     if kind == "secret" and personal:
         value = rnd.choice([lambda: run(_HEX, rnd.choice([32, 40, 64])) + "a1", lambda: mixed(rnd.randint(20, 48)), lambda: "AKIA" + run(_UPPER + _DIGITS, 15) + "7", lambda: "ghp_" + mixed(36), lambda: f"sk_live_{mixed(24)}", lambda: run(_LOWER, rnd.randint(4, 7)) + run(_DIGITS, rnd.randint(2, 4)) + rnd.choice(["", "!", "#"]), lambda: mixed(rnd.randint(8, 14))])()
+        if rnd.random() < 0.12:
+            plain = run(_LOWER, rnd.randint(7, 12))
+            return rnd.choice([f'password = "{plain}"', f"{word()} pwd='{plain}' {word()}", f'"password": "{plain.title()}"', f"passwd: '{plain}!'"]), plain
         name = rnd.choice(["token", "api_key", "secret", "password", "access_key", "auth_token", "pwd", "client_secret", "API_KEY"])
         forms = [f'{word()} {name} = "{value}" {word()}', f"{word()} {name}: {value} {word()}", f"{name}={value}", f'"{name}": "{value}",']
         if _PROVIDER.fullmatch(value):
@@ -296,7 +302,7 @@ def made_examples(n: int = EXAMPLES, seed: int = 1) -> dict[str, list[int]]:
         for k in range(n):
             text, value = _example(rnd, kind, personal=k % 2 == 0)
             for s, e, found in loose_spans(text, []):
-                if found == kind and text[s:e] in value or found == kind and value in text[s:e]:
+                if found == kind and (text[s:e].lower() in value.lower() or value.lower() in text[s:e].lower()):
                     out.setdefault(pattern_of(text, (s, e, kind)), [0, 0])[1 - k % 2] += 1
     return out
 
