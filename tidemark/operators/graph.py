@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.lineage import discard, settle
@@ -24,29 +24,30 @@ def vertices(edges: DataFrame) -> DataFrame:
 def pagerank(edges: DataFrame, alpha: float = 0.85, iterations: int = 100, tolerance: float = 1e-6) -> DataFrame:
     """node, pagerank. Weights are normalised by source; the rank of nodes without edges out is spread over all.
 
-    Stops when the summed change is below nodes * tolerance. Edges stay dealt out by source, so a round moves ranks and
-    contributions only. Every round's ranks are written with the rank to spread and the change, which reach the driver as two
-    numbers: the plan of a round never holds the one before, and a lost executor costs one round at most.
+    Stops when the summed change is below nodes * tolerance. Edges stay dealt out by source, and a round deals the ranks out once for both
+    of its joins. All ranks add up to one, so what a round must spread is what its ranks lack: their sum comes with the job that writes
+    them, and the share of it is added when they are read. The plan of a round never holds the one before, and a lost executor
+    costs one round at most.
     """
     total = edges.groupBy("src").agg(F.sum("weight").alias("w"))
     shares = settle(edges.join(total, "src").select("src", "dst", (F.col("weight") / F.col("w")).alias("share")), "shares")
-    nodes = settle(vertices(edges).join(total.select(F.col("src").alias("node"), F.lit(False).alias("dangling")), "node", "left").select("node", F.coalesce("dangling", F.lit(True)).alias("dangling")), "nodes")
-    n, loose = nodes.agg(F.count("*"), F.coalesce(F.sum(F.col("dangling").cast("long")), F.lit(0))).first()
-    if not n:
+    nodes = settle(vertices(edges), "nodes")
+    if not (n := nodes.count()):
         return nodes.select("node", F.lit(0.0).alias("pagerank"))
     shares = shares.repartition("src").persist()  # rebuilt from its table, if an executor is lost
-    ranks, lost, last = nodes.select("node", "dangling", F.lit(1.0 / n).alias("pagerank")), loose / n, None
+    ranks, last = nodes.select("node", F.lit(1.0 / n).alias("pagerank")), None
     for _ in range(iterations):
         given = shares.join(ranks.select(F.col("node").alias("src"), "pagerank"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("pagerank") * F.col("share")).alias("got"))
-        new = F.lit((1 - alpha) / n + alpha * lost / n) + alpha * F.coalesce("got", F.lit(0.0))
-        step = settle(ranks.join(given, "node", "left").select("node", "dangling", new.alias("pagerank"), F.col("pagerank").alias("before")), "ranks")
-        lost, change = step.agg(F.coalesce(F.sum(F.when(F.col("dangling"), F.col("pagerank"))), F.lit(0.0)), F.sum(F.abs(F.col("pagerank") - F.col("before")))).first()
+        seen = Observation()
+        own = (F.lit((1 - alpha) / n) + alpha * F.coalesce("got", F.lit(0.0))).alias("own")
+        step = settle(ranks.join(given, "node", "left").select("node", own, F.col("pagerank").alias("before")).observe(seen, F.sum("own").alias("sum")), "ranks")
+        spread = (1 - seen.get["sum"]) / n
         discard(last)
-        ranks, last = step.drop("before"), step
-        if tolerance and change < n * tolerance:
+        ranks, last = step.select("node", (F.col("own") + F.lit(spread)).alias("pagerank")), step
+        if tolerance and step.agg(F.sum(F.abs(F.col("own") + F.lit(spread) - F.col("before")))).first()[0] < n * tolerance:
             break
     shares.unpersist()
-    return ranks.select("node", "pagerank")
+    return ranks
 
 
 def degrees(edges: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.hashing import digests, h32, number, picked, trailing_zeros, trimmed
+from tidemark.functions.hashing import h32, trailing_zeros, trimmed
 from tidemark.functions.shipping import ship
 
 Hash = Callable
@@ -74,15 +74,25 @@ def bloom_probe(df: DataFrame, key: str, built: DataFrame, bits: int, hashes: in
 # Flajolet-Martin
 
 
+#: Of each hexadecimal digit: the more trailing zero bits, the smaller the code.
+_ZEROS = ("0123456789abcdef", "0434243414342434")
+
+
 def fm_registers(df: DataFrame, key: str, hashes: int = 32, h: Hash | None = None) -> DataFrame:
-    """seed, register. One aggregate of ``hashes`` maxima; the exchange is a row for each task."""
+    """seed, register. One aggregate of ``hashes`` extremes; the exchange is a row for each task.
+
+    With the md5 family no hash becomes a number: digests are coded so that the least code, read from the end, has the most trailing zeros.
+    """
     keys = df.filter(F.col(key).isNotNull()).select(F.col(key).alias("k"))
     if h is None:
-        keys = keys.select(digests(F.col("k"), hashes).alias("d"))
-        value = lambda s: number(picked(F.col("d"), s))
+        blocks = -(-hashes // 4)
+        keys = keys.select(*(F.reverse(F.translate(F.md5(F.concat(F.lit(f"{b}:"), F.col("k").cast("string"))), *_ZEROS)).alias(f"c{b}") for b in range(blocks)))
+        row = keys.agg(*(F.min(F.substring(f"c{s // 4}", 25 - 8 * (s % 4), 8)).alias(f"r{s}") for s in range(hashes)))
+        rest = lambda s: F.expr(f"trim(LEADING '0' FROM r{s})")
+        value = lambda s: F.when(rest(s) == "", 32).otherwise((8 - F.length(rest(s))) * 4 + 4 - F.substring(rest(s), 1, 1).cast("int"))
+        row = row.select(*(F.when(F.col(f"r{s}").isNotNull(), value(s)).cast("int").alias(f"r{s}") for s in range(hashes)))
     else:
-        value = lambda s: h(s, F.col("k"))
-    row = keys.agg(*(F.max(trailing_zeros(value(s))).alias(f"r{s}") for s in range(hashes)))
+        row = keys.agg(*(F.max(trailing_zeros(h(s, F.col("k")))).alias(f"r{s}") for s in range(hashes)))
     each = F.explode(F.array(*(F.struct(F.lit(s).alias("seed"), F.col(f"r{s}").alias("register")) for s in range(hashes))))
     return row.select(each.alias("x")).select("x.seed", "x.register").filter("register IS NOT NULL")
 
