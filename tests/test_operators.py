@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import hashing
+from tidemark.functions.components import components
 from tidemark.operators import graph, mining, ml, relational, similarity, sketches
 from tidemark.sources import generate
 
@@ -207,6 +208,27 @@ def test_dbscan_against_brute_force(spark, seed, d, crowd):
     assert {r.id: r.cluster for r in ml.dbscan(df, "id", list("abcd"[:d]), eps, least).collect()} == dict(enumerate(want))
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_components(spark, seed):
+    rnd = random.Random(seed)
+    ids = rnd.sample(range(1000), 300)
+    edges = [(a, b) for a, b in zip(ids[:120], ids[1:121])]  # a long path in random order
+    edges += [(ids[200], x) for x in ids[201:230]] + [tuple(rnd.sample(ids[120:200], 2)) for _ in range(50)] + [(ids[299], ids[299])]
+    rnd.shuffle(edges)
+    parent = {i: i for e in edges for i in e}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        parent[max(find(a), find(b))] = min(find(a), find(b))
+    got = {r.id: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {i: find(i) for i in parent}
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_numbered(spark):
     df = spark.createDataFrame([(7 * i % 101,) for i in range(101)], "v long").repartition(5)
     assert sorted(map(tuple, ml.numbered(df, "v").collect())) == [(i, i) for i in range(101)]

@@ -10,7 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.lineage import discard, settle
+from tidemark.functions.components import components
+from tidemark.functions.lineage import settle
 
 
 def moments(df: DataFrame, features: Sequence[str]) -> dict[str, tuple[float, float]]:
@@ -198,17 +199,7 @@ def dbscan(df: DataFrame, key: str, features: Sequence[str], eps: float, min_sam
     joined = _joined_cells(p.filter("cell IS NOT NULL"), f, g, spread, eps, side)
     nodes = settle(dense.select(F.col("cell").alias("id")).unionByName(sparse), "nodes")
     one = to_cells.unionByName(to_points).unionByName(joined)
-    inner = settle(one.unionByName(one.select(F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(nodes.select(F.col("id").alias("a"), F.col("id").alias("b"))).distinct(), "inner")
-    labels, last = nodes.select("id", F.col("id").alias("root")), None
-    while True:  # smallest reachable core key, with pointer jumping
-        step = inner.join(labels.select(F.col("id").alias("b"), "root"), "b").groupBy(F.col("a").alias("id")).agg(F.min("root").alias("root"))
-        far = labels.select(F.col("id").alias("root"), F.col("root").alias("far"))
-        new = step.join(far, "root", "left").select("id", F.least("root", F.coalesce("far", "root")).alias("root"))
-        new = settle(new.join(labels.select("id", F.col("root").alias("before")), "id"), "labels")
-        discard(last)
-        labels, last = new.select("id", "root"), new
-        if new.filter("root <> before").isEmpty():
-            break
+    labels = components(one.select("a", "b").unionByName(nodes.select(F.col("id").alias("a"), F.col("id").alias("b"))))
     named = settle(labels.join(numbered(labels.select("root").distinct(), "root"), "root").select("id", F.col("number").alias("cluster")), "named")
     of_node = named.select(F.col("id").alias("node"), "cluster")
     border = pairs.select("a", F.coalesce("b_cell", "b").alias("node")).join(of_node, "node").groupBy(F.col("a").alias("id")).agg(F.min("cluster").alias("border"))
