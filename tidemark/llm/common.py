@@ -6,7 +6,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions.lineage import discard, settle, shared_dir
+from tidemark.functions.components import components
+from tidemark.functions.lineage import settle, shared_dir
 from tidemark.functions.shipping import ship
 
 #: Odd multipliers and shifts of the 64-bit finaliser (public domain constants of splitmix64).
@@ -14,7 +15,7 @@ _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _S30, _S27, _S31 = np.uint64(30), np.uint64(27), np.uint64(31)
 
 
-__all__ = ["discard", "mix", "settle", "shared_dir", "ship", "table", "text_or_empty"]
+__all__ = ["components", "mix", "settle", "shared_dir", "ship", "table", "text_or_empty"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -46,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import discard, mix, settle, table, text_or_empty
+from .common import components, mix, settle, table, text_or_empty
 from .shingles import counted, parts
 
 SIZE, THRESHOLD = 5, 0.8
@@ -412,23 +412,6 @@ def links(keys: DataFrame, docs: DataFrame, idf: np.ndarray, threshold: float =
     return found.unionByName(settle(crossed(asking, asked, docs, idf, threshold, size), "crossed"))
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """id, class (the smallest id) of every end of an edge (a, b)."""
-    both = settle(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = settle(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("class")), "labels")
-    last = labels
-    while True:
-        near = both.join(labels, both.b == labels.id).groupBy(both.a.alias("id")).agg(F.min("class").alias("near"))
-        step = labels.join(near, "id").select("id", F.least("class", "near").alias("next"), F.col("class").alias("before"))
-        # Pointer jumping: a label's own label.
-        jump = labels.select(F.col("id").alias("next"), F.col("class").alias("far"))
-        new = settle(step.join(jump, "next", "left").select("id", F.least("next", F.coalesce("far", "next")).alias("class"), "before"), "labels")
-        discard(last)
-        labels, last = new.select("id", "class"), new
-        if new.filter("class <> before").isEmpty():
-            return labels
-
-
 def _classes(known: DataFrame, threshold: float, size: int) -> DataFrame:
     """id, class (the smallest id) of rows (id, text) with distinct ids."""
     idf = weights_of(document_frequencies(known, size), known.count())
@@ -436,7 +419,7 @@ def _classes(known: DataFrame, threshold: float, size: int) -> DataFrame:
     first = settle(signed.groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "texts")
     copies = settle(signed.join(first, ["d1", "d2"]).select("id", "rep", "copies", "keys"), "copies")
     found = links(copies.filter("id = rep").select("id", "keys", "copies"), known, idf, threshold, size)
-    named = components(found).select(F.col("id").alias("rep"), "class")
+    named = components(found).select(F.col("id").alias("rep"), F.col("root").alias("class"))
     return copies.select("id", "rep").join(named, "rep", "left").select("id", F.coalesce("class", "rep").alias("class"))
 
 
@@ -455,7 +438,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, size: int = SIZE, tex
         # Texts of one id are tied: its classes become one.
         tied = named.select("doc_id", "class").distinct()
         tied = tied.join(tied.groupBy("doc_id").agg(F.min("class").alias("a")), "doc_id").filter("class <> a").select("a", F.col("class").alias("b"))
-        joined = components(tied).select(F.col("id").alias("class"), F.col("class").alias("joined"))
+        joined = components(tied).select(F.col("id").alias("class"), F.col("root").alias("joined"))
         named = named.join(joined, "class", "left").select("doc_id", F.coalesce("joined", "class").alias("class"))
         least = named.groupBy("class").agg(F.min("doc_id").alias("class_id"))
         out = named.join(least, "class").select("doc_id", "class_id")
