@@ -8,7 +8,6 @@ Parquet scan. ``FLOWS_SQL`` and ``INDICATORS_SQL`` say the same in SQL.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 #: Country, code, latitude, longitude, network of the geographic dimension.
 COUNTRIES = (
