@@ -78,3 +78,49 @@ def test_tiles(monkeypatch, block, small, batch):
     batches = pa.Table.from_pylist(rows, schema).to_batches(max_chunksize=batch)
     got = [r for out in similarity._tiles(iter(batches), 2, 0.6) for r in out.to_pylist()]
     assert len(got) == len(want) > 100 and {(r["a"], r["b"]): (r["exact"], r["estimated"]) for r in got} == want
+
+
+@pytest.mark.parametrize("most", [600, 1 << 22])
+def test_clusters_like_the_scan(spark, monkeypatch, most):
+    """Rounds of short prefixes, and one of all."""
+    monkeypatch.setattr(similarity, "ROUND", most)
+    monkeypatch.setattr(similarity, "SHARE", 0)
+    monkeypatch.setattr(similarity, "SLICE", 1000)
+    texts = urls(most)
+    rep, links = brute(texts)
+    near = {i: set() for i in rep}
+    for a, b in links:
+        near[a].add(b)
+        near[b].add(a)
+    seen, want = set(), set()
+    for i in sorted(near):
+        if i not in seen:
+            seen |= {i} | near[i]
+            want |= {(i, j) for j in {i} | near[i]}
+    got = [tuple(r) for r in similarity.clusters(similarity.signatures(table(spark, texts), "id", "item")).collect()]
+    assert len(got) == len(want) and set(got) == want
+    assert any(member < seed for seed, member in want)
+
+
+def test_clusters_make_few_links(spark, monkeypatch):
+    """Links of the seeds, not of all: a large group doesn't make its pairs."""
+    monkeypatch.setattr(similarity, "ROUND", 200)
+    monkeypatch.setattr(similarity, "SHARE", 0)
+    settled, write = [], similarity.settle
+
+    def counted(df, label):
+        settled.append(write(df, label))
+        return settled[-1]
+
+    monkeypatch.setattr(similarity, "settle", counted)
+    sizes = []
+    monkeypatch.setattr(similarity, "discard", lambda t: sizes.append(t.count()) if t is not None else None)
+    signed = similarity.signatures(table(spark, urls(7)), "id", "item")
+    similarity.clusters(signed).count()
+    assert max(sizes) < similarity.pairs(signed).count() / 4
+
+
+def test_clusters_of_nothing(spark):
+    empty = spark.createDataFrame([], "id long, item string")
+    signed = similarity.signatures(empty, "id", "item")
+    assert similarity.clusters(signed).count() == similarity.pairs(signed).count() == similarity.members(signed).count() == 0
